@@ -10,6 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.sources.tables import load
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from millrace.llm.piece_codec import digest_documents
+
+    return digest_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from millrace.llm.packing import pack
+
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality_rules import apply_rules
 
@@ -22,4 +38,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {"op3_piece_codec": op3_piece_codec, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules}

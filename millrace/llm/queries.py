@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.sources.tables import load
 
 
+#: The queries in order of their operators.
+NAMES = ("op3_piece_codec", "op4_best_fit_packing", "op6_quality_rules", "op7_near_dedup", "op9_suffix_dedup", "op10_line_templates")
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,9 +37,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near_dedup import classes
+
+    return classes(load(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffix_dedup import cut_repeats
+
+    return cut_repeats(load(spark, sf_dir, "documents"), digest=True)
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.line_templates import drop_recurring
+
+    return drop_recurring(load(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_piece_codec": op3_piece_codec, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+    return {name: globals()[name] for name in NAMES}

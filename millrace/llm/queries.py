@@ -11,7 +11,13 @@ from millrace.sources.tables import load
 
 
 #: The queries in order of their operators.
-NAMES = ("op3_piece_codec", "op4_best_fit_packing", "op6_quality_rules", "op7_near_dedup", "op9_suffix_dedup", "op10_line_templates")
+NAMES = ("op2_language_id", "op3_piece_codec", "op4_best_fit_packing", "op5_toxicity", "op6_quality_rules", "op7_near_dedup", "op8_quality_model", "op9_suffix_dedup", "op10_line_templates")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language_id import predictions
+
+    return predictions(load(spark, sf_dir, "documents"), spans=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +43,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import score
+
+    return score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), 3, 1)
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality_model import score
+
+    return score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), 5, 0)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.near_dedup import classes
 

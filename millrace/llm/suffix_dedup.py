@@ -53,29 +53,44 @@ class Slab:
         self.anchors = np.zeros(0, np.uint64)
         if n < least:
             return
-        padded = np.concatenate([self.data, np.zeros(16, np.uint8)])
-        words = np.lib.stride_tricks.as_strided(padded[: n + 8].view(np.uint8), (n + 8, 8), (1, 1)).copy().view(np.uint64).ravel() if gram > 8 else None
-        low = words[: n - gram + 1]
-        high = words[gram - 8 : n - 7]
-        h = mix(low * BASE ^ (high * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(7)) ^ high)
-        span, width = least - gram + 1, 1
-        while width * 2 <= span:
-            h = np.minimum(h[:-width], h[width:])
-            width *= 2
-        if width < span:
-            h = np.minimum(h[: -(span - width)], h[span - width :])
-        doc_of = np.repeat(np.arange(len(self.keys)), np.diff(self.off))[: len(h)]
-        valid = np.arange(len(h)) + least <= self.off[1:][doc_of]
-        at = np.flatnonzero(valid)
-        if not len(at):
-            return
-        new = np.concatenate([[True], (h[at[1:]] != h[at[:-1]]) | (at[1:] != at[:-1] + 1)])
-        new[1:] |= doc_of[at[1:]] != doc_of[at[:-1]]
-        begin = np.flatnonzero(new)
-        self.starts = at[begin]
-        self.sizes = np.diff(np.concatenate([begin, [len(at)]])) + least - 1
-        self.anchors = h[self.starts]
-        self.docs = doc_of[self.starts]
+        at = self.off
+        valid = np.ones(n - least + 1, bool)  # windows that end in the document they start in
+        for end in at[1:].tolist():
+            valid[max(0, end - least + 1) : end] = False
+        new = np.ones(len(valid), bool)
+        anchors = self._anchors(gram)
+        new[1:] = anchors[1:] != anchors[:-1]
+        new[at[:-1][at[:-1] < len(new)]] = True
+        new &= valid
+        self.starts = np.flatnonzero(new)
+        if len(self.starts):
+            self.docs = np.searchsorted(at, self.starts, "right") - 1
+            following = np.concatenate([self.starts[1:], [n]])
+            self.sizes = np.minimum(following, at[self.docs + 1] - least + 1) - self.starts + least - 1
+            self.anchors = anchors[self.starts]
+
+    def _anchors(self, gram: int) -> np.ndarray:
+        """For each window start, the smallest hash of the grams in the window; in pieces that stay in a core's cache."""
+        n, span = len(self.data), self.least - gram + 1
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        out = np.empty(n - self.least + 1, np.uint64)
+        step = 1 << 15
+        for a in range(0, len(out), step):
+            b = min(len(out), a + step)
+            m = b - a + span - 1
+            words = np.ndarray(m + gram - 8, np.uint64, padded, a, (1,))  # eight bytes from each place on
+            h = words[:m] * BASE
+            h += words[gram - 8 : gram - 8 + m] * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0x94D049BB133111EB)
+            width = 1
+            while width * 2 <= span:
+                h = np.minimum(h[:-width], h[width:])
+                width *= 2
+            if width < span:
+                h = np.minimum(h[: -(span - width)], h[span - width :])
+            out[a:b] = h
+        return out
 
     def content(self, which: np.ndarray) -> np.ndarray:
         """A hash of the text of each span."""
@@ -164,24 +179,30 @@ SPANS = pa.schema([("slab", pa.int64()), ("part", pa.int64()), *[(c, pa.binary()
 MARKS = pa.schema([("slab", pa.int64()), ("content", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("key", pa.binary())])
 
 
-def smallest_carriers(texts: list[bytes], keys: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each window of each text, the smallest key of the texts that hold it."""
-    joined = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
+def smallest_carriers(texts: list[bytes], keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of each text, the smallest key of the texts that hold it, as runs: (text, first window, window behind the last, key)."""
     # 0 ends a text. A text's own 0 bytes are moved out of the way; 0xFF stands in no UTF-8 text.
-    if sum(map(len, texts)) + len(texts) != len(joined) or np.count_nonzero(joined == 0) != len(texts):
-        joined = np.frombuffer(b"\x00".join([t.replace(b"\x00", b"\xff") for t in texts]) + b"\x00", np.uint8)
+    joined = np.frombuffer(b"\x00".join([t.replace(b"\x00", b"\xff") for t in texts]) + b"\x00", np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     order, group = equal_windows(joined, least)
     good = (order + least) <= (begin + sizes)[owner[order]]
     order, group = order[good], group[good]
-    smallest = np.full(len(joined), NO_KEY, np.int64)
+    smallest = np.full(len(joined), -1, np.int64)
     if len(order):
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         low = np.minimum.reduceat(keys[owner[order]], cuts)
         smallest[order] = np.repeat(low, np.diff(np.concatenate([cuts, [len(order)]])))
-    return [smallest[b : b + n - least + 1] for b, n in zip(begin.tolist(), sizes.tolist())]
+    window = np.zeros(len(joined), bool)
+    window[order] = True
+    new = window.copy()
+    new[1:] &= ~window[:-1] | (smallest[1:] != smallest[:-1])
+    first = np.flatnonzero(new)
+    ends = window.copy()
+    ends[:-1] &= ~window[1:] | (smallest[1:] != smallest[:-1])
+    text = owner[first]
+    return text, first - begin[text], np.flatnonzero(ends) + 1 - begin[text], smallest[first]
 
 
 def answer_spans(rows: pa.Table, least: int, batch: int) -> pa.Table:
@@ -190,33 +211,35 @@ def answer_spans(rows: pa.Table, least: int, batch: int) -> pa.Table:
     counts = [len(x) for x in frames["key"]]
     slab = np.repeat(rows.column("slab").to_numpy(), counts)
     content, anchor, size, key = (np.concatenate(frames[c]) for c in ("content", "anchor", "size", "key"))
-    whole = [memoryview(x) for x in rows.column("text").to_pylist()]
+    whole = rows.column("text").to_pylist()
     from_row = np.repeat(np.arange(len(counts)), counts)
     at = np.concatenate([np.concatenate([[0], np.cumsum(s)[:-1]]) for s in frames["size"]])
     order = np.lexsort((key, content, anchor))
     slab, content, anchor, size, key, from_row, at = (x[order] for x in (slab, content, anchor, size, key, from_row, at))
-    new = np.concatenate([[True], (content[1:] != content[:-1]) | (anchor[1:] != anchor[:-1])])
-    firsts, number = np.flatnonzero(new), np.cumsum(new) - 1
+    firsts = np.flatnonzero(np.concatenate([[True], (content[1:] != content[:-1]) | (anchor[1:] != anchor[:-1])]))
+    carriers = np.diff(np.concatenate([firsts, [len(content)]]))
     # Sub-parts of whole anchors.
     edge = np.concatenate([np.flatnonzero(np.concatenate([[True], anchor[firsts][1:] != anchor[firsts][:-1]])), [len(firsts)]])
     ends = np.concatenate([[0], np.cumsum(size[firsts] + 1)])
-    out: dict[str, dict[int, list]] = {c: {} for c in ("content", "first", "last", "key")}
-    rows_of = np.concatenate([firsts, [len(content)]])
+    runs: list[tuple[np.ndarray, ...]] = []
     a = 0
     while a < len(edge) - 1:
         b = max(a + 1, int(np.searchsorted(ends[edge], ends[edge[a]] + batch, "right")) - 1)
         some = firsts[edge[a] : edge[b]]
-        texts = [bytes(whole[from_row[k]][at[k] : at[k] + size[k]]) for k in some.tolist()]
-        for k, lows in zip(range(edge[a], edge[b]), smallest_carriers(texts, key[some], least)):
-            change = np.flatnonzero(np.concatenate([[True], lows[1:] != lows[:-1]]))
-            last = np.concatenate([change[1:], [len(lows)]])
-            for r in range(rows_of[k], rows_of[k + 1]):
-                for c, v in (("content", np.full(len(change), content[r])), ("first", change), ("last", last), ("key", lows[change])):
-                    out[c].setdefault(int(slab[r]), []).append(v)
+        texts = [whole[f][x : x + n] for f, x, n in zip(from_row[some].tolist(), at[some].tolist(), size[some].tolist())]
+        text, *rest = smallest_carriers(texts, key[some], least)
+        runs.append((text + edge[a], *rest))
         a = b
-    names = sorted(out["key"])
-    kinds = {"content": np.uint64, "first": np.int32, "last": np.int32, "key": np.int64}
-    return pa.table({"slab": pa.array(names, pa.int64()), **{c: pa.array([np.concatenate(out[c][s]).astype(kinds[c]).tobytes() for s in names], pa.binary()) for c in kinds}}, schema=MARKS)
+    text, first, last, low = (np.concatenate(x) for x in zip(*runs))
+    # Every carrier of a text gets its runs.
+    times = carriers[text]
+    row = np.repeat(firsts[text], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    run = np.repeat(np.arange(len(text)), times)
+    by_slab = np.argsort(slab[row], kind="stable")
+    row, run = row[by_slab], run[by_slab]
+    cuts = np.flatnonzero(np.concatenate([[True], slab[row][1:] != slab[row][:-1]])) if len(row) else np.zeros(0, np.int64)
+    columns = (content[row], first[run].astype(np.int32), last[run].astype(np.int32), low[run])
+    return pa.table({"slab": pa.array(slab[row[cuts]], pa.int64()), **{c: pa.array([x.tobytes() for x in np.split(v, cuts[1:])] if len(cuts) else [], pa.binary()) for c, v in zip(("content", "first", "last", "key"), columns)}}, schema=MARKS)
 
 
 def covered(slab: Slab, answers: pa.Table) -> np.ndarray:

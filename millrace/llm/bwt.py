@@ -1,7 +1,7 @@
 """Groups of equal windows in a text, by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-Suffixes are sorted as far as the threshold needs by prefix doubling. The expansion then starts from the interval of the empty string and extends every
-interval backward by the bytes that precede its suffixes; a right boundary found while strings of length k are extended has a common prefix of
+Suffixes are sorted as far as the threshold needs by prefix doubling, whose first step also gives the intervals of short strings. From these on, the
+expansion extends every interval backward by the bytes that precede its suffixes; a right boundary found while strings of length k are extended has a common prefix of
 exactly k with the suffix before it. Levels run breadth first, so values come in increasing order, and the work stops at the threshold: boundaries
 not found by then have longer common prefixes, which is all that is asked.
 """
@@ -17,8 +17,12 @@ def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in order of their first `depth` values at least (0 stands behind the end)."""
+def suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts of all suffixes in order of their first `depth` values at least (0 stands behind the end).
+
+    Also, for each place in the order, how many values its suffix shares with the one before, counted as far as the first sort went, and how far
+    that was.
+    """
     n = len(text)
     bits = max(1, int(n - 1).bit_length())
     first = max(1, min(depth, (64 - bits) // 8))
@@ -30,7 +34,13 @@ def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     mask = np.uint64((1 << bits) - 1)
     order = (packed & mask).astype(np.int64)
     values = packed >> np.uint64(bits)
-    rank = _ranks(order, np.concatenate([[True], values[1:] != values[:-1]]))
+    differ = np.zeros(n, np.uint64)
+    differ[1:] = values[1:] ^ values[:-1]
+    rank = _ranks(order, np.concatenate([[True], differ[1:] > 0]))
+    shared = np.full(n, first, np.int8)
+    for k in range(1, first + 1):
+        shared[differ >= np.uint64(1) << np.uint64(8 * (first - k))] -= 1
+    shared[0] = -1
     known = first
     while known < depth and rank[order[-1]] < n - 1:
         second = np.zeros(n, np.int64)
@@ -45,23 +55,26 @@ def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         a, b = rank[order], second[order]
         rank = _ranks(order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         known *= 2
-    return order
+    return order, shared, first
 
 
-def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """For each place in `order`, whether its suffix and the one before share fewer than `least` values (0 in the text ends a string)."""
+def boundaries(text: np.ndarray, order: np.ndarray, shared: np.ndarray, first: int, least: int) -> np.ndarray:
+    """For each place in `order`, whether its suffix and the one before share fewer than `least` values (0 in the text ends a string).
+
+    The first levels, up to `first` values, are known from the sort; the expansion goes on from the intervals that end at their last level.
+    """
     n = len(text)
     before = text[order - 1]  # of the first suffix, the last value, which is 0
-    counts = np.bincount(before, minlength=256)
-    first_row = np.concatenate([[0], np.cumsum(counts)[:-1]])
     by_value = np.argsort(before, kind="stable")
-    lf = np.empty(n, np.int64)
+    lf = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     lf[by_value] = np.arange(n)
-    cut = np.zeros(n + 1, bool)
-    cut[0] = cut[n] = True
-    low, high = np.array([0]), np.array([n])
+    cut = np.ones(n + 1, bool)
+    cut[:n] = shared < first
+    begins = np.flatnonzero(cut)
+    last = np.concatenate([shared[begins[1:-1]] == first - 1, [False]])
+    low, high = begins[:-1][last], begins[1:][last]
     bits = max(1, int(n).bit_length())
-    for level in range(least):
+    for _ in range(first, least):
         if not len(low):
             break
         sizes = high - low
@@ -69,9 +82,8 @@ def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         which = np.repeat(np.arange(len(low)), sizes)
         at = np.arange(int(sizes.sum())) - np.repeat(starts - low, sizes)
         value = before[at]
-        if level:  # a string never begins with the end of another
-            real = value > 0
-            which, at, value = which[real], at[real], value[real]
+        real = value > 0  # a string never begins with the end of another
+        which, at = which[real], at[real]
         if not len(at):
             break
         if bits + int(len(low)).bit_length() <= 63:
@@ -89,7 +101,6 @@ def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         fresh = ~cut[j]
         low, high = i[fresh], j[fresh]
         cut[high] = True
-    assert first_row[0] == 0
     return cut[:n]
 
 
@@ -98,5 +109,5 @@ def equal_windows(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
 
     Starts with fewer than `least` values before the next 0 are in groups of no meaning and must be left out by the caller.
     """
-    order = suffixes(text, least)
-    return order, np.cumsum(boundaries(text, order, least)) - 1
+    order, shared, first = suffixes(text, least)
+    return order, np.cumsum(boundaries(text, order, shared, first, least)) - 1

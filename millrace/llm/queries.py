@@ -6,12 +6,19 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.sources.tables import load
 
 
 #: The queries in order of their operators.
-NAMES = ("op2_language_id", "op3_piece_codec", "op4_best_fit_packing", "op5_toxicity", "op6_quality_rules", "op7_near_dedup", "op8_quality_model", "op9_suffix_dedup", "op10_line_templates")
+NAMES = ("op1_vector_search", "op2_language_id", "op3_piece_codec", "op4_best_fit_packing", "op5_toxicity", "op6_quality_rules", "op7_near_dedup", "op8_quality_model", "op9_suffix_dedup", "op10_line_templates")
+
+
+def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.vector_search import neighbours
+
+    return neighbours(load(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ for one machine, so equal windows are first brought together:
    `gram`-byte strings in it; equal windows have equal anchors. A run of window starts with one anchor is a span, and its text is kept whole.
 2. Each slab sends its anchors, once each and as 32 bits beside their part, to the part that owns them; a part answers which of them other slabs
    have too. This leaves only text that may repeat; a chance match of hashes costs work and changes nothing.
-3. Each slab sends the distinct span texts of those anchors, with the smallest key that carries each, to the anchor's part. The part lays them out one
-   after another, builds the suffix order and the transform, and expands intervals up to `least`: windows of one interval are equal. Each gets
+3. Each slab sends the distinct span texts of those anchors, with the smallest key that carries each, to the anchor's part. The part lays texts that
+   share an anchor out one after another, builds the suffix order and the transform, and expands intervals up to `least`: windows of one interval are equal. Each gets
    the smallest key of all its carriers.
 4. Parts answer with ranges of windows and that key; slabs mark the bytes of their documents with larger keys, and cut.
 
@@ -113,6 +113,15 @@ def _short(anchors: np.ndarray) -> np.ndarray:
     return (anchors & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _expand(packed: bytes, kind: type | None = None) -> np.ndarray | bytes:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    return raw if kind is None else np.frombuffer(raw, kind)
+
+
 def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
@@ -167,11 +176,13 @@ def send_spans(slab_id: int, slab: Slab, parts: int, answers: pa.Table) -> pa.Ta
             own = which[rows]
             out["slab"].append(slab_id)
             out["part"].append(p)
+            by_anchor = np.argsort(_short(slab.anchors[own]), kind="stable")
+            rows, own = rows[by_anchor], own[by_anchor]
             out["content"].append(content[rows].tobytes())
-            out["anchor"].append(slab.anchors[own].tobytes())
-            out["size"].append(slab.sizes[own].tobytes())
-            out["key"].append(slab.keys[slab.docs[own]].tobytes())
-            out["text"].append(b"".join([data[a : a + n] for a, n in zip(slab.starts[own].tolist(), slab.sizes[own].tolist())]))
+            out["anchor"].append(_short(slab.anchors[own]).tobytes())
+            out["size"].append(_squeeze(slab.sizes[own].astype(np.int32).tobytes()))
+            out["key"].append(_squeeze(slab.keys[slab.docs[own]].tobytes()))
+            out["text"].append(_squeeze(b"".join([data[a : a + n] for a, n in zip(slab.starts[own].tolist(), slab.sizes[own].tolist())])))
     return pa.table({c: pa.array(v, pa.int64() if c in ("slab", "part") else pa.binary()) for c, v in out.items()}, schema=SPANS)
 
 
@@ -207,28 +218,36 @@ def smallest_carriers(texts: list[bytes], keys: np.ndarray, least: int) -> tuple
 
 def answer_spans(rows: pa.Table, least: int, batch: int) -> pa.Table:
     """For each slab of a part, the window ranges of its span texts with the smallest key of each; the slab compares its own documents."""
-    frames = {c: [np.frombuffer(x, np.int64 if c in ("size", "key") else np.uint64) for x in rows.column(c).to_pylist()] for c in ("content", "anchor", "size", "key")}
+    frames = {c: [np.frombuffer(x, kind) for x in rows.column(c).to_pylist()] for c, kind in (("content", np.uint64), ("anchor", np.uint32))}
+    frames |= {c: [_expand(x, kind).astype(np.int64) for x in rows.column(c).to_pylist()] for c, kind in (("size", np.int32), ("key", np.int64))}
     counts = [len(x) for x in frames["key"]]
     slab = np.repeat(rows.column("slab").to_numpy(), counts)
     content, anchor, size, key = (np.concatenate(frames[c]) for c in ("content", "anchor", "size", "key"))
-    whole = rows.column("text").to_pylist()
+    whole = [_expand(x) for x in rows.column("text").to_pylist()]
     from_row = np.repeat(np.arange(len(counts)), counts)
     at = np.concatenate([np.concatenate([[0], np.cumsum(s)[:-1]]) for s in frames["size"]])
     order = np.lexsort((key, content, anchor))
     slab, content, anchor, size, key, from_row, at = (x[order] for x in (slab, content, anchor, size, key, from_row, at))
     firsts = np.flatnonzero(np.concatenate([[True], (content[1:] != content[:-1]) | (anchor[1:] != anchor[:-1])]))
     carriers = np.diff(np.concatenate([firsts, [len(content)]]))
-    # Sub-parts of whole anchors.
-    edge = np.concatenate([np.flatnonzero(np.concatenate([[True], anchor[firsts][1:] != anchor[firsts][:-1]])), [len(firsts)]])
-    ends = np.concatenate([[0], np.cumsum(size[firsts] + 1)])
-    runs: list[tuple[np.ndarray, ...]] = []
+    # A text that has its anchor to itself shares no window with another: one run, with its own smallest key.
+    heads = np.concatenate([[True], anchor[firsts][1:] != anchor[firsts][:-1]])
+    group = np.flatnonzero(heads)
+    texts_of = np.diff(np.concatenate([group, [len(firsts)]]))
+    alone = group[texts_of == 1]
+    runs = [(alone, np.zeros(len(alone), np.int64), size[firsts[alone]] - least + 1, key[firsts[alone]])]
+    # The others in sub-parts of whole anchors.
+    rest = np.flatnonzero(np.repeat(texts_of > 1, texts_of))
+    edge = np.concatenate([np.flatnonzero(heads[rest]), [len(rest)]])
+    ends = np.concatenate([[0], np.cumsum(size[firsts[rest]] + 1)])
     a = 0
     while a < len(edge) - 1:
         b = max(a + 1, int(np.searchsorted(ends[edge], ends[edge[a]] + batch, "right")) - 1)
-        some = firsts[edge[a] : edge[b]]
+        mine = rest[edge[a] : edge[b]]
+        some = firsts[mine]
         texts = [whole[f][x : x + n] for f, x, n in zip(from_row[some].tolist(), at[some].tolist(), size[some].tolist())]
-        text, *rest = smallest_carriers(texts, key[some], least)
-        runs.append((text + edge[a], *rest))
+        text, *found = smallest_carriers(texts, key[some], least)
+        runs.append((mine[text], *found))
         a = b
     text, first, last, low = (np.concatenate(x) for x in zip(*runs))
     # Every carrier of a text gets its runs.
@@ -239,7 +258,7 @@ def answer_spans(rows: pa.Table, least: int, batch: int) -> pa.Table:
     row, run = row[by_slab], run[by_slab]
     cuts = np.flatnonzero(np.concatenate([[True], slab[row][1:] != slab[row][:-1]])) if len(row) else np.zeros(0, np.int64)
     columns = (content[row], first[run].astype(np.int32), last[run].astype(np.int32), low[run])
-    return pa.table({"slab": pa.array(slab[row[cuts]], pa.int64()), **{c: pa.array([x.tobytes() for x in np.split(v, cuts[1:])] if len(cuts) else [], pa.binary()) for c, v in zip(("content", "first", "last", "key"), columns)}}, schema=MARKS)
+    return pa.table({"slab": pa.array(slab[row[cuts]], pa.int64()), **{c: pa.array([_squeeze(x.tobytes()) for x in np.split(v, cuts[1:])] if len(cuts) else [], pa.binary()) for c, v in zip(("content", "first", "last", "key"), columns)}}, schema=MARKS)
 
 
 def covered(slab: Slab, answers: pa.Table) -> np.ndarray:
@@ -247,7 +266,7 @@ def covered(slab: Slab, answers: pa.Table) -> np.ndarray:
     n = len(slab.data)
     if not answers.num_rows or not len(slab.starts):
         return np.zeros(n, bool)
-    get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in answers.column(c).to_pylist()])
+    get = lambda c, kind: np.concatenate([_expand(x, kind) for x in answers.column(c).to_pylist()])
     content, first, last, key = get("content", np.uint64), get("first", np.int32).astype(np.int64), get("last", np.int32).astype(np.int64), get("key", np.int64)
     order = np.argsort(content, kind="stable")
     content, first, last, key = content[order], first[order], last[order], key[order]
@@ -282,7 +301,7 @@ def cut_texts(slab: Slab, gone: np.ndarray) -> pa.Table:
     return pa.table({c: pa.array(v, pa.binary() if c == "kept" else pa.int64()) for c, v in zip(names, columns)})
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 16, slab_bytes: int = 1 << 22, batch: int = 1 << 21, digest: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 16, slab_bytes: int = 1 << 22, batch: int = 1 << 17, digest: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and `kept` (the remaining bytes) or, with `digest`, `kept_sha256`."""
     _, size = input_bytes(docs, text)
     slabs = max(1, -(-size // slab_bytes))

@@ -5,9 +5,6 @@ Tokens are lower-cased (A-Z) runs of letters, digits, marks of other scripts and
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,11 +110,3 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     for k, c in enumerate(columns):
         out[:, k] = c
     return out
-
-
-def key_crc(key: int) -> int:
-    """CRC-32 of a key's text, as held_out() has it."""
-    return zlib.crc32(str(key).encode())
-
-
-Rows = Iterator

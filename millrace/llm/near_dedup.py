@@ -5,7 +5,7 @@
 2. Classes that share a band are candidates. In each bucket every class is compared with one centre, the class with the most company over all its
    buckets (for copies of one text, that text itself). That gives the links that join nearly everything, with rows in proportion to the members.
 3. What is still apart is compared in full: within buckets that still hold more than one component, members of different components are compared
-   block against block, in a task for each pair of blocks; only pairs that pass the Bayesian test leave it.
+   block against block, in a task for each pair of blocks, which verifies the survivors itself; only links that join components leave it.
 4. The Bayesian test compares signatures a batch at a time. With a uniform prior, after m of n equal values the similarity reaches the threshold with
    probability P(Binomial(n + 1, threshold) <= m); below `miss` the pair is dropped. Survivors are verified on their full shingle sets.
 5. Components of the verified links, by distributed star contraction; the smallest key stays.
@@ -40,6 +40,7 @@ FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.u
 TERMS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 #: Members of a bucket compared by one task at most; a larger bucket becomes several pairs of blocks.
 BLOCK = 16_384
+BLOCK_BYTES = 32 << 20
 
 
 def document_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -144,45 +145,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for k, (ha, hb) in enumerate(zip(batch.column("ha"), batch.column("hb"))):
-                x, y = (np.frombuffer(h.as_buffer(), np.uint64) for h in (ha, hb))
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(k)
+                if _linked(np.frombuffer(ha.as_buffer(), np.uint64), np.frombuffer(hb.as_buffer(), np.uint64), percent):
+                    keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return with_both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _apart(rows: pa.Table, threshold: float, miss: float) -> pa.Table:
-    """Pairs of one pair of blocks that are in different components and pass the test; each pair in the first bucket it shares only."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _joins(rows: pa.Table, threshold: float, miss: float, percent: int) -> pa.Table:
+    """Links of one pair of blocks that join different components.
+
+    Every pair of members in different components takes the test, in the first band that the two share only, and survivors are verified on their full
+    sets, the most alike first. Pairs whose components a verified link has joined meanwhile need no more links.
+    """
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     block = rows.column("block").to_numpy()
     doc, comp = rows.column("doc").to_numpy(), rows.column("component").to_numpy()
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     band = int(rows.column("band")[0].as_py())
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    out_a, out_b = [], []
-    rare = comp[right]
-    step = max(1, (1 << 22) // max(1, len(right)))
-    names, sizes = np.unique(np.concatenate([comp[left], rare]), return_counts=True)
-    main = names[sizes.argmax()]
-    if i == j:  # all of the largest component against the others, and the others among themselves
-        left = left[comp[left] != main]
+    names, number = np.unique(comp, return_inverse=True)
+    if i == j:  # all against the members outside the largest component covers every pair of different components
+        left = left[number[left] != np.bincount(number).argmax()]
+    root = list(range(len(names)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out: tuple[list[int], list[int]] = ([], [])
+    step = max(1, (1 << 21) // max(1, len(right)))
     for at in range(0, len(left), step):
-        x = left[at : at + step]
-        pa_, pb_ = np.nonzero((comp[x][:, None] != rare[None, :]) & (doc[x][:, None] != doc[right][None, :]))
-        for k in range(0, len(pa_), 200_000):
-            a, b = x[pa_[k : k + 200_000]], right[pb_[k : k + 200_000]]
-            ok = survivors(sig[a], sig[b], threshold, miss)
-            a, b = a[ok], b[ok]
-            if band and len(a):
-                earlier = (sig[a, : band * ROWS] == sig[b, : band * ROWS]).reshape(len(a), band, ROWS).all(axis=2).any(axis=1)
-                a, b = a[~earlier], b[~earlier]
-            out_a.append(np.maximum(doc[a], doc[b]))
-            out_b.append(np.minimum(doc[a], doc[b]))
-    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0) if out_a else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        mine = left[at : at + step]
+        x, y = np.nonzero(number[mine][:, None] != number[right][None, :])
+        a, b = mine[x], right[y]
+        ok = np.concatenate([k + survivors(sig[a[k : k + 100_000]], sig[b[k : k + 100_000]], threshold, miss) for k in range(0, len(a), 100_000)] or [np.zeros(0, np.int64)])
+        a, b = a[ok], b[ok]
+        same = sig[a] == sig[b]
+        if band and len(a):
+            later = ~same[:, : band * ROWS].reshape(len(a), band, ROWS).all(axis=2).any(axis=1)
+            a, b, same = a[later], b[later], same[later]
+        for k in np.argsort(-same.sum(axis=1), kind="stable").tolist():
+            p, q = int(a[k]), int(b[k])
+            u, v = find(int(number[p])), find(int(number[q]))
+            if u != v and _linked(sets[p], sets[q], percent):
+                root[u] = v
+                out[0].append(max(int(doc[p]), int(doc[q])))
+                out[1].append(min(int(doc[p]), int(doc[q])))
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, miss: float = 1e-7) -> DataFrame:
@@ -209,12 +230,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
     # What the stars left apart: buckets that still hold several components.
     placed = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("_n")).where("low < high")
-    blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int")
-    rest = placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").join(sigs, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "band", "doc", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    late = paired.groupBy("bucket", "i", "j").applyInArrow(lambda t: _apart(t, threshold, miss), "a long, b long").distinct()
-    more = settle(verified(settle(late, "late"), sets, percent), "more")
+    placed = placed.join(sets, "doc").join(sigs, "doc")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("shingles")).alias("_bytes")).where("low < high")
+    blocks = F.greatest(F.ceil(F.col("_n") / F.lit(BLOCK)), F.ceil(F.col("_bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    rest = placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "band", "doc", "component", "sig", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = settle(paired.groupBy("bucket", "i", "j").applyInArrow(lambda t: _joins(t, threshold, miss, percent), "a long, b long").distinct(), "more")
     if more.limit(1).count():
         joined = settle(components(links.union(more)), "joined")
 

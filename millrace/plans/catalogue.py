@@ -1,15 +1,295 @@
-"""Queries over the driver's tables and the DuckDB SQL that each is held against."""
+"""Queries over the driver's tables. The SQL that each is held against is in plans.oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.functions import udfs
+from millrace.functions.profiles import CORPUS_WORDS, Build, Language, Pairs
+from millrace.operators import corpus, gates, glue, metrics, near, packing, pairs, prompts
+from millrace.plans import oracles
+from millrace.plans.inline import HISTORY, MADE, REPLIES, SCORED, SCORED_TEXTS, SOURCES
+from millrace.sources.tables import load, spread
+
+#: The documents are in other languages than the default gate asks for, so later stages are exercised without it.
+OPEN = Build(language=None, machine_translation=False)
+LOOSE = Pairs(response=(40, 4000), floor=None, ceiling=None)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.with_order(documents(spark, sf_dir))
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumn("text", T.clean(F.col("text"))).withColumn("words", T.lexed(F.col("text"), CORPUS_WORDS))
+
+
+def clean_lengths(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.length(T.clean(F.col("text"))).cast("long").alias("n"), F.md5(T.clean(F.col("text"))).alias("digest"))
+
+
+def clean_small_lengths(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.length(T.clean_small(F.col("text"))).cast("long").alias("n"), F.md5(T.clean_small(F.col("text"))).alias("digest"))
+
+
+def word_stats(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select("doc_id", F.size("words").cast("long").alias("n_words"), F.round(T.mean_length(F.col("words")), 6).alias("mean_length"))
+
+
+def whitespace_word_stats(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(T.whitespace_words(F.col("text"))).cast("long").alias("n_words"))
+
+
+def text_features(spark, sf_dir):
+    c = F.col("text")
+    return _cleaned(spark, sf_dir).select("doc_id", F.round(T.letter_share(c), 6).alias("letters"), F.round(T.distinct_share(T.filled_lines(c)), 6).alias("distinct_lines"), F.round(T.symbol_share(c, F.col("words")), 6).alias("symbols"))
+
+
+def quality_reasons(spark, sf_dir):
+    return corpus.gated(ordered(spark, sf_dir), OPEN).select(F.col("doc_ord").alias("doc_id"), "source", "reason")
+
+
+def quality_reasons_by_source(spark, sf_dir):
+    return gates.reason_counts(corpus.gated(ordered(spark, sf_dir), OPEN), "source")
+
+
+def language_rates(spark, sf_dir):
+    p = Language()
+    return _cleaned(spark, sf_dir).select("doc_id", F.round(T.share_in(F.col("words"), p.target), 6).alias("target"), F.round(T.share_in(F.col("words"), p.other), 6).alias("other"))
+
+
+def language_gate(spark, sf_dir):
+    return gates.reason_counts(corpus.gated(ordered(spark, sf_dir), replace(OPEN, language=Language())))
+
+
+def mt_disclosure(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select("doc_id", gates.says_translated(F.col("text")).alias("says_translated"))
+
+
+def doc_dedup(spark, sf_dir):
+    gated = corpus.gated(ordered(spark, sf_dir), OPEN).where("reason IS NULL")
+    return corpus.first_documents(gated).select(F.col("doc_ord").alias("doc_id"), "first_document")
+
+
+def segment_counts(spark, sf_dir):
+    s = T.segments(F.col("text"))
+    return _cleaned(spark, sf_dir).select("doc_id", F.size(s["segs"]).cast("long").alias("n_segments"), (s["sep"] == "\n").alias("by_line"))
+
+
+def _fresh(spark, sf_dir):
+    gated = corpus.gated(ordered(spark, sf_dir), OPEN).where("reason IS NULL")
+    return corpus.fresh_segments(corpus.exploded_segments(corpus.first_documents(gated).where("first_document")), OPEN.dedup_floor)
+
+
+def segment_dedup(spark, sf_dir):
+    return _fresh(spark, sf_dir).groupBy(F.col("doc_ord").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh"))
+
+
+def segment_reuse_by_source(spark, sf_dir):
+    return _fresh(spark, sf_dir).groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("fresh")).alias("repeated"))
+
+
+def corpus_build(spark, sf_dir):
+    built = corpus.build(ordered(spark, sf_dir), OPEN)
+    return built.select(F.col("doc_ord").alias("doc_id"), "reason", "reason_detail", "partly_duplicate", F.md5("text").alias("digest"))
+
+
+def corpus_manifest(spark, sf_dir):
+    return corpus.manifest(corpus.build(ordered(spark, sf_dir), OPEN), OPEN)
+
+
+def corpus_source_counts(spark, sf_dir):
+    return corpus.source_counts(corpus.build(ordered(spark, sf_dir), OPEN))
+
+
+def shard_assignment(spark, sf_dir):
+    return corpus.shards(corpus.build(ordered(spark, sf_dir), OPEN), replace(OPEN, shard_docs=100)).select(F.col("doc_ord").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "shard")
+
+
+def _distinct_small(spark, sf_dir):
+    cleaned = documents(spark, sf_dir).select("doc_id", T.clean_small(F.col("text")).alias("text")).where(F.length("text") >= 200)
+    return near.exact_first(cleaned).where(~F.col("copy"))
+
+
+def shingle_counts(spark, sf_dir):
+    return near.shingle_sets(_distinct_small(spark, sf_dir)).select("doc_id", F.size("shingles").cast("long").alias("n"))
+
+
+def near_dup_pairs(spark, sf_dir):
+    return near.near_pairs(near.shingle_sets(_distinct_small(spark, sf_dir)), 0.5).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def near_dedup_kept(spark, sf_dir):
+    return near.prepared(documents(spark, sf_dir), 0.3).select("doc_id", "outcome")
+
+
+def prepare_summary(spark, sf_dir):
+    return near.prepared(documents(spark, sf_dir), 0.8).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hash_split_counts(spark, sf_dir):
+    return packing.hash_split(documents(spark, sf_dir), 0.05).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_split(spark, sf_dir):
+    return packing.count_split(documents(spark, sf_dir), 0.05).select("doc_id", "split")
+
+
+def held_out_documents(spark, sf_dir):
+    held = documents(spark, sf_dir).where((F.length("text") >= 1500) & T.hash_share(F.col("text"), 0.05))
+    return held.select("doc_id", F.length("text").cast("long").alias("n")).orderBy("doc_id").limit(400)
+
+
+def exclude_sources(spark, sf_dir):
+    return load(spark, sf_dir, "documents").where(~F.coalesce("source", F.lit("")).isin("src3", "src7")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def survey_totals(spark, sf_dir):
+    sized = load(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes_memory"))
+    surveyed = metrics.survey(sized.withColumn("bytes_files", F.lit(None).cast("long")).withColumn("note", F.when(F.col("source") == "src19", "EVALUATION ONLY").otherwise("crawl")))
+    return metrics.survey_totals(surveyed)
+
+
+def survey_table(spark, sf_dir):
+    return metrics.survey(spark.createDataFrame(SOURCES, "source string, bytes_memory long, bytes_files long, note string")).select("source", "bytes", F.col("tokens").cast("long").alias("tokens"), "evaluation")
+
+
+def _word_ids(spark, sf_dir):
+    """Token streams for a check in SQL: the length of each word stands for its id, and 0 ends a document."""
+    ids = F.concat(F.transform(T.whitespace_words(F.col("text")), F.length), F.array(F.lit(0)))
+    return packing.hash_split(documents(spark, sf_dir), 0.05).select("doc_id", "split", ids.alias("ids"))
+
+
+def pack_blocks(spark, sf_dir):
+    return packing.blocks(_word_ids(spark, sf_dir), 256).select("split", "block_id", F.aggregate("ids", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("digest"))
+
+
+def pack_remainder(spark, sf_dir):
+    n = F.sum(F.size("ids"))
+    return _word_ids(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("documents"), n.alias("tokens"), F.floor(n / 256).alias("blocks"), (n % 256).alias("dropped"))
+
+
+def sft_pairs(spark, sf_dir):
+    found = pairs.from_turns(load(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", F.length("instruction").cast("long").alias("n_instruction"), F.length("response").cast("long").alias("n_response"))
+
+
+def sft_reject_reasons(spark, sf_dir):
+    return gates.reason_counts(pairs.rejected(pairs.from_turns(load(spark, sf_dir, "conversations"))))
+
+
+def sft_reject_reasons_loose(spark, sf_dir):
+    return gates.reason_counts(pairs.rejected(pairs.from_turns(load(spark, sf_dir, "conversations")), LOOSE))
+
+
+def sft_dedup(spark, sf_dir):
+    return pairs.deduplicated(pairs.from_turns(load(spark, sf_dir, "conversations")), ("conv_id", "turn"), Pairs(key_chars=12)).select("conv_id", "turn")
+
+
+def sft_report(spark, sf_dir):
+    return pairs.report(pairs.from_turns(load(spark, sf_dir, "conversations")))
+
+
+def sft_per_task(spark, sf_dir):
+    found = pairs.from_turns(load(spark, sf_dir, "conversations")).withColumn("task", F.substring("instruction", 1, 1))
+    return pairs.per_task(found, "task", "conv_id").withColumn("place", F.col("place").cast("long"))
+
+
+def prompt_grid(spark, sf_dir):
+    return prompts.grid(spark).withColumn("job", F.col("job").cast("long"))
+
+
+def prompt_texts(spark, sf_dir):
+    return prompts.grid(spark).select(F.col("job").cast("long").alias("job"), F.md5(prompts.prompt(F.col("domain"), F.col("task"), F.col("angle"))).alias("digest"))
+
+
+def parse_json_pairs(spark, sf_dir):
+    return pairs.parsed(spark.createDataFrame(REPLIES, "id long, reply string")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def position_profile(spark, sf_dir):
+    return metrics.position_profile(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", init=0.125).withColumn("tail_mean", F.round("tail_mean", 6))
+
+
+def lr_schedule(spark, sf_dir):
+    return spark.range(1000).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 1000, 6e-4, 100) * 1e6, 6).alias("rate"))
+
+
+def position_bands(spark, sf_dir):
+    return metrics.position_bands(spark.createDataFrame(SCORED, "model string, doc_id long, pos int, loss double, hit boolean"), 512, "model").select("model", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.round("loss", 6).alias("loss"), F.round("hit", 6).alias("hit"))
+
+
+def bits_per_character(spark, sf_dir):
+    out = metrics.bits_per_character(spark.createDataFrame(SCORED_TEXTS, "model string, loss double, tokens long, characters long"), "model")
+    return out.select("model", *[F.round(c, 6).alias(c) for c in ("bits_per_character", "perplexity_per_token", "tokens_per_character")])
+
+
+def prefix_match(spark, sf_dir):
+    run, share = metrics.prefix_match(F.split("made", " "), F.split("real", " "))
+    return spark.createDataFrame(MADE, "id long, made string, real string").select("id", run.cast("long").alias("run"), F.round(share, 6).alias("share"))
+
+
+def training_stop(spark, sf_dir):
+    return metrics.patience(spark.createDataFrame(HISTORY, "run string, step long, loss double"), 3).withColumn("waited", F.col("waited").cast("long"))
+
+
+def blake2b_split(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", (udfs.blake2b_32("text") < int(0.05 * 2**32)).alias("held_out"))
+
+
+def sentence_glue(spark, sf_dir):
+    return glue.glued(documents(spark, sf_dir)).select("source", "doc_ord", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+def bpe_fertility(spark, sf_dir):
+    import public_tokenizers
+
+    from millrace.operators import tokenizer
+
+    docs = documents(spark, sf_dir)
+    counts = tokenizer.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=None).join(docs, "doc_id").select(F.size("ids").alias("tokens"), F.size(T.whitespace_words(F.col("text"))).alias("words"))
+    return metrics.fertility(counts)
+
+
+def pretoken_counts(spark, sf_dir):
+    from millrace.operators import tokenizer
+
+    return tokenizer.pretoken_counts(documents(spark, sf_dir)).groupBy(F.length("token").alias("chars")).agg(F.count(F.lit(1)).alias("distinct_tokens"), F.sum("n").alias("tokens"))
+
+
+def streaming_dedup(spark, sf_dir):
+    from millrace.sources.stage import checkpointed
+    from millrace.streaming import seen
+
+    import uuid
+
+    schema = load(spark, sf_dir, "documents").schema
+    checkpointed(spark.range(1))  # makes sure that a shared folder is set
+    where = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    seen.run_once(spark, f"{sf_dir}/documents.parquet", schema, f"{where}/out", f"{where}/state")
+    return spark.read.parquet(f"{where}/out").select("digest")
+
+
+NAMES = (
+    "clean_lengths clean_small_lengths word_stats whitespace_word_stats text_features quality_reasons quality_reasons_by_source language_rates language_gate mt_disclosure doc_dedup segment_counts segment_dedup"
+    " segment_reuse_by_source corpus_build corpus_manifest corpus_source_counts shard_assignment shingle_counts near_dup_pairs near_dedup_kept prepare_summary hash_split_counts count_split held_out_documents"
+    " exclude_sources survey_totals survey_table pack_blocks pack_remainder sft_pairs sft_reject_reasons sft_reject_reasons_loose sft_dedup sft_report sft_per_task prompt_grid prompt_texts parse_json_pairs"
+    " position_profile lr_schedule position_bands bits_per_character prefix_match training_stop blake2b_split sentence_glue bpe_fertility pretoken_counts streaming_dedup"
+).split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: globals()[name] for name in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()

@@ -13,6 +13,7 @@ from millrace.functions import text as T
 from millrace.functions.profiles import Build
 from millrace.functions.udfs import nfc
 from millrace.operators import gates
+from millrace.sources.stage import checkpointed
 
 ORDER = ("priority", "doc_ord")
 
@@ -62,8 +63,8 @@ def build(docs: DataFrame, b: Build = Build()) -> DataFrame:
 
     `reason_detail` tells exact copies from documents with too little fresh text.
     """
-    rows = gated(docs, b)
-    passed = first_documents(rows.where("reason IS NULL"))
+    rows = checkpointed(gated(docs, b))  # cleaned once, used by both deduplications
+    passed = checkpointed(first_documents(rows.where("reason IS NULL")))
     segs = fresh_segments(exploded_segments(passed.where("first_document")), b.dedup_floor)
     joined = segs.groupBy(*ORDER).agg(
         F.max("sep").alias("_sep"),
@@ -75,7 +76,7 @@ def build(docs: DataFrame, b: Build = Build()) -> DataFrame:
     done = passed.drop("reason").join(joined, list(ORDER), "left")
     detail = F.when(~F.col("first_document"), "copy").when(F.coalesce("_chars", F.lit(0)) < b.least_fresh, "little fresh text")
     done = done.withColumn("reason_detail", detail).withColumn("reason", F.when(detail.isNotNull(), "duplicate"))
-    kept = F.array_join(F.transform("_segs", lambda s: s["seg"]), F.lit("\n"))
+    kept = F.array_join(F.transform("_segs", lambda s: s["seg"]), "\n")
     kept = F.when(F.col("_sep") == " ", F.array_join(F.transform("_segs", lambda s: s["seg"]), " ")).otherwise(kept)
     done = done.withColumn("partly_duplicate", F.col("reason").isNull() & (F.col("_fresh") < F.col("_all"))).withColumn("text", F.when(F.col("reason").isNull(), kept))
     dropped = rows.where("reason IS NOT NULL").select(*ORDER, "source", F.lit(None).cast("string").alias("text"), "reason", F.col("reason").alias("reason_detail"), F.lit(False).alias("partly_duplicate"))
@@ -101,7 +102,8 @@ def ranked(df: DataFrame, order: tuple[str, ...], parts: int = 64) -> DataFrame:
     """`rank` from 0 in a total order without one task for all rows: ranges first, then counts before each range."""
     from pyspark.sql import Window as W
 
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    # Written once: two computations of the ranges could draw their bounds differently.
+    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     within = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
     sums = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = sums.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_b")  # one row for each range

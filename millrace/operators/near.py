@@ -64,11 +64,11 @@ def resolve(pairs: DataFrame) -> DataFrame:
 
 def prepared(docs: DataFrame, threshold: float = 0.8, least_chars: int = 200) -> DataFrame:
     """doc_id, cleaned text and outcome (short, copy, near copy, kept) of every document."""
-    cleaned = docs.select("doc_id", T.clean_small(F.col("text")).alias("text"))
+    cleaned = checkpointed(docs.select("doc_id", T.clean_small(F.col("text")).alias("text")))
     short = cleaned.where(F.length("text") < least_chars).withColumn("outcome", F.lit("short"))
     marked = exact_first(cleaned.where(F.length("text") >= least_chars))
     copies = marked.where("copy").drop("copy").withColumn("outcome", F.lit("copy"))
     distinct = marked.where(~F.col("copy")).drop("copy")
-    decided = resolve(near_pairs(shingle_sets(distinct), threshold)).where(~F.col("kept")).select("doc_id", F.lit("near copy").alias("outcome"))
+    decided = resolve(near_pairs(checkpointed(shingle_sets(distinct)), threshold)).where(~F.col("kept")).select("doc_id", F.lit("near copy").alias("outcome"))
     rest = distinct.join(decided, "doc_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("kept")))
     return short.unionByName(copies).unionByName(rest.select(short.columns))

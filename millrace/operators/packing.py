@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.sources.stage import checkpointed
 
 
 def hash_split(docs: DataFrame, share: float = 0.005, text: str = "text") -> DataFrame:
@@ -28,7 +29,8 @@ def blocks(docs: DataFrame, block: int = 1024, parts: int = 64) -> DataFrame:
 
     Offsets are prefix sums in two levels: within ranges of doc_id, and over the totals of the ranges, of which there are `parts`.
     """
-    ranged = docs.select("split", "doc_id", "ids").repartitionByRange(parts, "doc_id").withColumn("_part", F.spark_partition_id()).withColumn("_n", F.size("ids").cast("long"))
+    # Written once: two computations of the ranges could draw their bounds differently.
+    ranged = checkpointed(docs.select("split", "doc_id", "ids").repartitionByRange(parts, "doc_id").withColumn("_part", F.spark_partition_id()).withColumn("_n", F.size("ids").cast("long")))
     inside = W.partitionBy("split", "_part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy("split", "_part").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(W.partitionBy("split").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("split", "_part", "_b")

@@ -14,6 +14,7 @@ from millrace.functions.profiles import CORPUS_WORDS, Build, Language, Pairs
 from millrace.operators import corpus, gates, glue, metrics, near, packing, pairs, prompts
 from millrace.plans import oracles
 from millrace.plans.inline import HISTORY, MADE, REPLIES, SCORED, SCORED_TEXTS, SOURCES
+from millrace.sources.stage import checkpointed
 from millrace.sources.tables import load, spread
 
 #: The documents are in other languages than the default gate asks for, so later stages are exercised without it.
@@ -86,8 +87,8 @@ def segment_counts(spark, sf_dir):
 
 
 def _fresh(spark, sf_dir):
-    gated = corpus.gated(ordered(spark, sf_dir), OPEN).where("reason IS NULL")
-    return corpus.fresh_segments(corpus.exploded_segments(corpus.first_documents(gated).where("first_document")), OPEN.dedup_floor)
+    gated = checkpointed(corpus.gated(ordered(spark, sf_dir), OPEN).where("reason IS NULL"))
+    return corpus.fresh_segments(checkpointed(corpus.exploded_segments(corpus.first_documents(gated).where("first_document"))), OPEN.dedup_floor)
 
 
 def segment_dedup(spark, sf_dir):
@@ -117,7 +118,7 @@ def shard_assignment(spark, sf_dir):
 
 def _distinct_small(spark, sf_dir):
     cleaned = documents(spark, sf_dir).select("doc_id", T.clean_small(F.col("text")).alias("text")).where(F.length("text") >= 200)
-    return near.exact_first(cleaned).where(~F.col("copy"))
+    return near.exact_first(checkpointed(cleaned)).where(~F.col("copy"))
 
 
 def shingle_counts(spark, sf_dir):
@@ -267,11 +268,10 @@ def pretoken_counts(spark, sf_dir):
 
 
 def streaming_dedup(spark, sf_dir):
-    from millrace.sources.stage import checkpointed
-    from millrace.streaming import seen
-
     import uuid
 
+    from millrace.streaming import seen
+
     schema = load(spark, sf_dir, "documents").schema
     checkpointed(spark.range(1))  # makes sure that a shared folder is set
     where = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"

@@ -55,7 +55,7 @@ s AS (SELECT doc_id, priority, CASE WHEN len(lines) > 1 THEN lines ELSE list_fil
   CASE WHEN len(lines) > 1 THEN {NL} ELSE ' ' END AS sep FROM p WHERE first_document),
 e AS (SELECT doc_id, priority, sep, unnest(segs) AS seg, generate_subscripts(segs, 1) AS pos FROM s),
 g AS (SELECT *, length(seg) < 60 OR row_number() OVER (PARTITION BY seg ORDER BY priority, doc_id, pos) = 1 AS fresh FROM e),
-d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE fresh) AS fresh, coalesce(sum(length(seg)) FILTER (WHERE fresh), 0) AS chars, string_agg(seg, sep ORDER BY pos) FILTER (WHERE fresh) AS kept FROM g GROUP BY doc_id),
+d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE fresh) AS fresh, coalesce(sum(length(seg)) FILTER (WHERE fresh), 0) AS chars, CASE WHEN max(sep) = {NL} THEN string_agg(seg, {NL} ORDER BY pos) FILTER (WHERE fresh) ELSE string_agg(seg, ' ' ORDER BY pos) FILTER (WHERE fresh) END AS kept FROM g GROUP BY doc_id),
 b AS (SELECT q.doc_id, q.source, q.priority, CASE WHEN q.reason IS NOT NULL THEN q.reason WHEN NOT p.first_document OR coalesce(d.chars, 0) < 200 THEN 'duplicate' END AS reason,
   CASE WHEN q.reason IS NOT NULL THEN q.reason WHEN NOT p.first_document THEN 'copy' WHEN coalesce(d.chars, 0) < 200 THEN 'little fresh text' END AS reason_detail,
   q.reason IS NULL AND p.first_document AND coalesce(d.chars, 0) >= 200 AND d.fresh < d.n AS partly_duplicate, d.kept FROM q LEFT JOIN p USING (doc_id) LEFT JOIN d USING (doc_id))"""
@@ -135,8 +135,8 @@ def sql() -> dict[str, str]:
           SELECT sum(tokens) FILTER (WHERE source <> 'src19')::BIGINT AS usable_tokens, count(*) AS sources, round(sum(tokens) FILTER (WHERE source <> 'src19') / 2.24e9, 6) AS share FROM s""",
         "survey_table": f"""SELECT source, bytes, floor(bytes / 3.6)::BIGINT AS tokens, contains(note, 'EVALUATION') AS evaluation FROM (SELECT source, coalesce(nullif(m, 0), f)::BIGINT AS bytes, note FROM {values(SOURCES)} AS v(source, m, f, note)) WHERE bytes > 0""",
         "pack_blocks": f"""WITH {TOKENS}, o AS (SELECT split, ids, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM i),
-          x AS (SELECT split, unnest(ids) AS id, o + generate_subscripts(ids, 1) - 1 AS at FROM o)
-          SELECT split, (at // 256)::BIGINT AS block_id, sum(id)::BIGINT AS total, md5(string_agg(id::VARCHAR, ',' ORDER BY at)) AS digest FROM x GROUP BY 1, 2 HAVING count(*) = 256""",
+          x AS (SELECT split, unnest(ids) AS id, o + generate_subscripts(ids, 1) - 1 AS k FROM o)
+          SELECT split, (k // 256)::BIGINT AS block_id, sum(id)::BIGINT AS total, md5(string_agg(id::VARCHAR, ',' ORDER BY k)) AS digest FROM x GROUP BY 1, 2 HAVING count(*) = 256""",
         "pack_remainder": f"WITH {TOKENS} SELECT split, count(*) AS documents, sum(len(ids))::BIGINT AS tokens, (sum(len(ids)) // 256)::BIGINT AS blocks, (sum(len(ids)) % 256)::BIGINT AS dropped FROM i GROUP BY 1",
         "sft_pairs": f"WITH {PAIRS} SELECT conv_id, turn, length(instruction) AS n_instruction, length(response) AS n_response FROM pr",
         "sft_reject_reasons": _pair_reasons(40, 1500, True),

@@ -19,8 +19,9 @@ def exact_first(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, size: int = 13, step: int = 3) -> DataFrame:
     """doc_id and `shingles`, the distinct hashes of its word runs."""
-    runs = T.shingles(T.whitespace_words(F.col("text")), size, step)
-    return docs.select("doc_id", F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s))).alias("shingles"))
+    runs = T.shingles(F.col("_w"), size, step)
+    split = docs.select("doc_id", T.whitespace_words(F.col("text")).alias("_w"))  # a column of its own, so that no lambda splits again
+    return split.select("doc_id", F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s))).alias("shingles"))
 
 
 def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -29,6 +30,7 @@ def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     Prefix filter: two sets above the threshold share one of the rarest n - ceil(threshold * n) + 1 members of each, so only these are joined on,
     and members that very many documents hold drop out of the join. Candidates are then verified on their whole sets.
     """
+    sets = checkpointed(sets)
     members = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     weights = members.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     common = members.join(weights.where("df > 1"), "s")
@@ -69,6 +71,6 @@ def prepared(docs: DataFrame, threshold: float = 0.8, least_chars: int = 200) ->
     marked = exact_first(cleaned.where(F.length("text") >= least_chars))
     copies = marked.where("copy").drop("copy").withColumn("outcome", F.lit("copy"))
     distinct = marked.where(~F.col("copy")).drop("copy")
-    decided = resolve(near_pairs(checkpointed(shingle_sets(distinct)), threshold)).where(~F.col("kept")).select("doc_id", F.lit("near copy").alias("outcome"))
+    decided = resolve(near_pairs(shingle_sets(distinct), threshold)).where(~F.col("kept")).select("doc_id", F.lit("near copy").alias("outcome"))
     rest = distinct.join(decided, "doc_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("kept")))
     return short.unionByName(copies).unionByName(rest.select(short.columns))

@@ -28,8 +28,8 @@ def head(df: DataFrame, n: int, *order: str, by: str | None = None) -> DataFrame
 
 def json_lines(spark: SparkSession, path: str, schema: str = "text string, source string") -> DataFrame:
     """JSON lines, also gzipped; malformed lines go, missing fields are empty. `file` is where a row comes from."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
-    rows = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    rows = spark.read.text(path).select(parsed.alias("j"), F.col("_metadata.file_path").alias("file")).where("j._corrupt_record IS NULL").select("j.*", "file").drop("_corrupt_record")
     return rows.withColumn("text", F.coalesce("text", F.lit("")))
 
 

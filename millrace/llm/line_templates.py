@@ -104,11 +104,11 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10) -> DataFrame:
     """The input with `text` without recurring lines, and `n_lines` and `n_dropped`."""
-    gone = recurring_lines(docs, key, text, min_docs).withColumnRenamed("doc", "_doc")
+    gone = recurring_lines(docs, key, text, min_docs).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
     joined = docs.drop("n_lines", "n_dropped").join(gone, docs[key] == gone["_doc"], "left")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    split_once = joined.withColumn("_lines", F.when(F.col("gone").isNotNull(), split))
-    counted = split_once.withColumn("n_lines", F.size(split).cast("long")).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return counted.withColumn(text, kept).drop("_doc", "_lines", "gone")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    split_once = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), split))
+    counted = split_once.withColumn("n_lines", F.size(split).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    return counted.withColumn(text, kept).drop("_doc", "_lines", "_gone")

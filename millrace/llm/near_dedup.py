@@ -94,7 +94,7 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np
 
 
 def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key, n_shingles, set_id (null for an empty set), sig, bands."""
+    """key, n_shingles, set_id (null for an empty set) and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slabs(batches, text):
@@ -106,12 +106,23 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
-                    pa.array([None if s is None else band_hashes(s).tolist() for s in sigs], pa.list_(pa.int64())),
                 ],
-                ["doc", "n_shingles", "set_id", "sig", "bands"],
+                ["doc", "n_shingles", "set_id", "sig"],
             )
 
-    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, n_shingles long, set_id binary, sig binary, bands array<long>")
+    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, n_shingles long, set_id binary, sig binary")
+
+
+def buckets(sigs: DataFrame) -> DataFrame:
+    """doc, band and bucket, a row for each band of each signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = np.concatenate([band_hashes(np.frombuffer(x.as_buffer(), np.uint32)) for x in b.column("sig")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc").to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(found)], ["doc", "band", "bucket"])
+
+    return sigs.select("doc", "sig").mapInArrow(run, "doc long, band int, bucket long")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -212,10 +223,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     base = settle(describe(docs, key, text, size), "sets")
     groups = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc").alias("first"))
     groups = settle(groups, "groups")
-    firsts = settle(base.join(groups.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "sig", "bands"), "firsts")
+    firsts = settle(base.select("doc", "sig").join(groups.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select("doc", "sig").dropDuplicates(["doc"]), "firsts")
 
     # Buckets with more than one class, and the centre of each.
-    members = firsts.select("doc", F.posexplode("bands").alias("band", "bucket"))
+    members = buckets(firsts)
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settle(members.join(counts, "bucket"), "members")
     company = members.groupBy("doc").agg(F.sum("n").alias("company"))

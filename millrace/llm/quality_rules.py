@@ -138,7 +138,8 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         F.filter(F.split(whole, WORD_BREAK), lambda w: w != "").alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: F.translate(x, WHITE, "") != "").alias("_lines"),
     )
-    measured = split.select(*[F.col(c) for c in stays], *[c.alias(k) for k, c in measures(F.col("_text")).items()])
+    # A filter on the verdict must stay above the measures; pushed below, it would repeat each of them. What depends on a row number stays.
+    measured = split.select(*[F.col(c) for c in stays], *[c.alias(k) for k, c in measures(F.col("_text")).items()], F.monotonically_increasing_id().alias("_row"))
     failed = F.array_compact(F.array(*[F.when(~verdict(r), F.lit(r.name)) for r in rules]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn("kept", ~base & (F.size("failed_rules") == 0))
+    return measured.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn("kept", ~base & (F.size("failed_rules") == 0) & (F.col("_row") >= 0)).drop("_row")

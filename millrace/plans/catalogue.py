@@ -275,7 +275,7 @@ def streaming_dedup(spark, sf_dir):
     schema = load(spark, sf_dir, "documents").schema
     checkpointed(spark.range(1))  # makes sure that a shared folder is set
     where = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    seen.run_once(spark, f"{sf_dir}/documents.parquet", schema, f"{where}/out", f"{where}/state")
+    seen.run_once(spark, f"{sf_dir}/documents.parque[t]", schema, f"{where}/out", f"{where}/state")
     return spark.read.parquet(f"{where}/out").select("digest")
 
 

@@ -23,6 +23,6 @@ def deduplicated(stream: DataFrame, text: str = "text", quality: Quality | None
 
 
 def run_once(spark: SparkSession, path: str, schema, out: str, checkpoint: str) -> None:
-    """Read all files of a folder as a stream, deduplicate, and append to Parquet; a restart goes on where the checkpoint stands."""
+    """Read all files of a folder (or one, by a pattern) as a stream, deduplicate, and append to Parquet; a restart goes on where the checkpoint stands."""
     stream = spark.readStream.schema(schema).parquet(path)
     deduplicated(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -5,8 +5,9 @@ A line's path in the tree is its number of tokens and its first DEPTH tokens; to
 made variable, and, for lines of HALVES tokens or more, all even or all odd tokens with the others variable. A template of the last two kinds keeps half the
 tokens or more, the similarity that such trees ask of a line; both are keys of equality, so lines meet by a shuffle instead of one after another.
 
-A template recurs if `min_docs` documents hold it and no family of copies holds more than half of them. A document's family is a sketch of its lines, a
-few minima of hashes, which exact and most near copies share; whole copied documents are left for the deduplication of documents.
+A template recurs if `min_docs` documents hold it and no family of copies holds more than half of them. A document's family is its component of near
+copies, by the verified similarity of near_dedup, among the documents that hold a template of `min_docs` documents; whole copied documents are left for
+the deduplication of documents.
 
 Counts are two-level partial aggregates and lines meet templates in a join that adaptive execution can split, so one very common line is no one
 task's work.
@@ -25,21 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.near_dedup import classes
 from millrace.llm.shared import settle
 from millrace.llm.vec import BASE, mix, slabs, word_hashes, word_spans
 
 DEPTH = 3
 HALVES = 8
 LEAST_TOKENS = 3
-#: Minima in a document's sketch. Copies that share nine lines in ten agree in all with probability 0.66; documents with half their lines in common, 0.06.
-FAMILY = 4
+#: Documents of which this share of their shingles is common are copies, in percent.
+COPIES = 80
 VARIABLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def line_keys(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """For each line with LEAST_TOKENS tokens or more: text number, line number, path, the three templates (0 where there is none) and family."""
+    """For each line with LEAST_TOKENS tokens or more: text number, line number, path and the three templates (0 where there is none)."""
     starts, ends, _ = word_spans(data, off)
-    empty = {c: np.zeros(0, np.int64) for c in ("row", "line", "path", "whole", "even", "odd", "family")}
+    empty = {c: np.zeros(0, np.int64) for c in ("row", "line", "path", "whole", "even", "odd")}
     if not len(starts):
         return empty
     hashes = word_hashes(data, starts, ends)
@@ -60,12 +62,7 @@ def line_keys(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     position = line_starts[line_of[begin]]
     row = np.searchsorted(off, position, "right") - 1
     number = np.searchsorted(breaks, position, "left") - np.searchsorted(breaks, off[row], "left")
-    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    family = np.zeros(len(cuts), np.uint64)
-    for k in range(FAMILY):
-        family = mix(family * BASE ^ np.minimum.reduceat(mix(whole + np.uint64(k + 1) * BASE), cuts))
-    family = np.repeat(family, np.diff(np.concatenate([cuts, [len(row)]])))
-    found = {"row": row, "line": number, "path": path, "whole": whole, "even": even, "odd": odd, "family": family}
+    found = {"row": row, "line": number, "path": path, "whole": whole, "even": even, "odd": odd}
     return {c: (v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64))[count >= LEAST_TOKENS] for c, v in found.items()}
 
 
@@ -82,15 +79,22 @@ def paths(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, line, path, whole, even, odd, family of all lines with a path."""
-    names = ["line", "path", "whole", "even", "odd", "family"]
+    """doc, line, path, whole, even, odd of all lines with a path."""
+    names = ["line", "path", "whole", "even", "odd"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slabs(batches, text):
             k = line_keys(data, off)
             yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()).take(pa.array(k["row"])), pa.array(k["line"].astype(np.int32)), *[pa.array(k[c]) for c in names[1:]]], ["doc", *names])
 
-    return docs.select(key, text).mapInArrow(run, "doc long, line int, path long, whole long, even long, odd long, family long")
+    return docs.select(key, text).mapInArrow(run, "doc long, line int, path long, whole long, even long, odd long")
+
+
+def families(docs: DataFrame, held: DataFrame, key: str, text: str) -> DataFrame:
+    """doc and family of the documents in `held`."""
+    holders = held.select(F.col("doc").alias(key)).distinct()
+    found = classes(docs.join(holders, key, "left_semi"), key, text, percent=COPIES)
+    return found.groupBy(F.col(key).alias("doc")).agg(F.min("component_id").alias("family"))
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10) -> DataFrame:
@@ -98,10 +102,12 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     keyed = docs.where(F.col(key).isNotNull())
     common = paths(keyed, key, text).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("path")
     likely = settle(lines(keyed, key, text).join(common, "path", "left_semi"), "lines")
-    templates = likely.select("doc", "line", "family", F.explode(F.array_distinct(F.filter(F.array("whole", "even", "odd"), lambda x: x != 0))).alias("template"))
-    once = templates.groupBy("template", "family", "doc").agg(F.lit(1).alias("_one"))
-    families = once.groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
-    common = families.groupBy("template").agg(F.sum("n").alias("docs"), F.max("n").alias("top")).where((F.col("docs") >= min_docs) & (2 * F.col("top") <= F.col("docs"))).select("template")
+    templates = likely.select("doc", "line", F.explode(F.array_distinct(F.filter(F.array("whole", "even", "odd"), lambda x: x != 0))).alias("template"))
+    once = templates.select("template", "doc").distinct()
+    often = once.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
+    held = settle(once.join(often, "template", "left_semi"), "held")
+    sizes = held.join(families(keyed, held, key, text), "doc").groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
+    common = sizes.groupBy("template").agg(F.sum("n").alias("docs"), F.max("n").alias("top")).where(2 * F.col("top") <= F.col("docs")).select("template")
     hit = templates.join(common, "template", "left_semi")
     return hit.groupBy("doc").agg(F.collect_set("line").alias("gone"))
 

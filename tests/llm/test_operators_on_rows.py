@@ -170,6 +170,31 @@ def test_line_templates(spark):
     assert got[200]["text"] is None and got[201]["text"] == "" and "Page" in got[None]["text"]
 
 
+def _edited(r, name, n_lines, n_words, copies, edits):
+    """Texts of a base and of copies of it with `edits` words changed in each."""
+    base = [[f"{name}{chr(97 + i % 26)}{''.join(r.choices('abcdefgh', k=6))}" for i in range(n_words)] for _ in range(n_lines)]
+    out = ["\n".join(map(" ".join, base))]
+    for _ in range(copies):
+        lines = [list(x) for x in base]
+        for k in r.sample(range(n_lines * n_words), edits):
+            lines[k // n_words][k % n_words] = "".join(r.choices("stuvwxyz", k=9))
+        out.append("\n".join(map(" ".join, lines)))
+    return out
+
+
+def test_line_templates_leave_edited_copies(spark):
+    import random
+
+    from millrace.llm.line_templates import drop_recurring
+
+    r = random.Random(5)
+    shapes = [(6, 25, 1), (6, 25, 2), (20, 12, 3), (1, 150, 1)]
+    texts = [t for g, (lines, words, edits) in enumerate(shapes * 2) for t in _edited(r, "klmnopqr"[g], lines, words, 60, edits)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = drop_recurring(frame).collect()
+    assert len(got) == len(texts) and all(x["n_dropped"] == 0 and x["text"] == texts[x["doc_id"]] for x in got)
+
+
 def test_language(spark, docs):
     from millrace.llm.language_id import identify, predictions
 

@@ -5,7 +5,7 @@ A line's path in the tree is its number of tokens and its first DEPTH tokens; to
 made variable, and, for lines of HALVES tokens or more, all even or all odd tokens with the others variable. A template of the last two kinds keeps half the
 tokens or more, the similarity that such trees ask of a line; both are keys of equality, so lines meet by a shuffle instead of one after another.
 
-A template recurs if `min_docs` documents hold it and no family of copies holds more than half of them. A document's family is its component of near
+A template recurs if documents of `min_docs` families hold it, however many documents each family has. A document's family is its component of near
 copies, by the verified similarity of near_dedup, among the documents that hold a template of `min_docs` documents; whole copied documents are left for
 the deduplication of documents.
 
@@ -106,8 +106,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     once = templates.select("template", "doc").distinct()
     often = once.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
     held = settle(once.join(often, "template", "left_semi"), "held")
-    sizes = held.join(families(keyed, held, key, text), "doc").groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
-    common = sizes.groupBy("template").agg(F.sum("n").alias("docs"), F.max("n").alias("top")).where(2 * F.col("top") <= F.col("docs")).select("template")
+    holders = held.join(families(keyed, held, key, text), "doc").select("template", "family").distinct()
+    common = holders.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
     hit = templates.join(common, "template", "left_semi")
     return hit.groupBy("doc").agg(F.collect_set("line").alias("gone"))
 

@@ -195,6 +195,19 @@ def test_line_templates_leave_edited_copies(spark):
     assert len(got) == len(texts) and all(x["n_dropped"] == 0 and x["text"] == texts[x["doc_id"]] for x in got)
 
 
+def test_line_templates_shared_with_copies(spark):
+    import random
+
+    from millrace.llm.line_templates import drop_recurring
+
+    r = random.Random(9)
+    said = "subscribe to the weekly letter of this fine paper"
+    own = [t + "\n" + said for i in range(12) for t in _edited(r, f"o{chr(97 + i)}", 3, 20, 0, 0)]
+    copies = [t + "\n" + said for t in _edited(r, "copied", 3, 20, 40, 1)]
+    got = {x["doc_id"]: x for x in drop_recurring(spark.createDataFrame(list(enumerate(own + copies)), "doc_id long, text string")).collect()}
+    assert all((x["n_dropped"], said in x["text"]) == (1, False) for x in got.values()) and len(got) == 53
+
+
 def test_language(spark, docs):
     from millrace.llm.language_id import identify, predictions
 

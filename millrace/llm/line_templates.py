@@ -1,6 +1,7 @@
 """Dropping lines whose template recurs across documents, by a fixed-depth template tree.
 
-A line's path in the tree is its number of tokens and its first DEPTH tokens; tokens with a digit are variable fields. Paths that fewer than
+A line's path in the tree is its number of tokens and its first DEPTH tokens, or all of them where there are fewer; tokens with a digit are variable
+fields, except in lines of fewer than DEPTH tokens that would have no other (a lone number, or a sentence in a script without spaces). Paths that fewer than
 `min_docs` documents take are left out at once, which leaves few lines. On the rest, a line belongs to three templates: all its tokens with digits
 made variable, and, for lines of HALVES tokens or more, all even or all odd tokens with the others variable. A template of the last two kinds keeps half the
 tokens or more, the similarity that such trees ask of a line; both are keys of equality, so lines meet by a shuffle instead of one after another.
@@ -32,27 +33,28 @@ from millrace.llm.vec import BASE, mix, slabs, word_hashes, word_spans
 
 DEPTH = 3
 HALVES = 8
-LEAST_TOKENS = 3
 #: Documents of which this share of their shingles is common are copies, in percent.
 COPIES = 80
 VARIABLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def line_keys(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """For each line with LEAST_TOKENS tokens or more: text number, line number, path and the three templates (0 where there is none)."""
+    """For each line with a token: text number, line number, path and the three templates (0 where there is none)."""
     starts, ends, _ = word_spans(data, off)
     empty = {c: np.zeros(0, np.int64) for c in ("row", "line", "path", "whole", "even", "odd")}
     if not len(starts):
         return empty
     hashes = word_hashes(data, starts, ends)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    hashes[digits[ends] > digits[starts]] = VARIABLE
+    field = digits[ends] > digits[starts]
     breaks = np.flatnonzero(data == 10)
     line_starts = np.unique(np.concatenate([off[:-1], breaks + 1]))
     line_of = np.searchsorted(line_starts, starts, "right") - 1
     begin = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]]))
     count = np.diff(np.concatenate([begin, [len(starts)]]))
     place = np.arange(len(starts)) - np.repeat(begin, count)
+    bare = (count < DEPTH) & (np.add.reduceat(field.astype(np.int64), begin) == count)
+    hashes[field & ~np.repeat(bare, count)] = VARIABLE
     values = mix(hashes + place.astype(np.uint64) * BASE)
     total = lambda mask: mix(np.add.reduceat(np.where(mask, values, np.uint64(0)), begin) + count.astype(np.uint64))
     path, even, odd = total(place < DEPTH), total(place % 2 == 0), total(place % 2 == 1)
@@ -63,7 +65,7 @@ def line_keys(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     row = np.searchsorted(off, position, "right") - 1
     number = np.searchsorted(breaks, position, "left") - np.searchsorted(breaks, off[row], "left")
     found = {"row": row, "line": number, "path": path, "whole": whole, "even": even, "odd": odd}
-    return {c: (v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64))[count >= LEAST_TOKENS] for c, v in found.items()}
+    return {c: (v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for c, v in found.items()}
 
 
 def paths(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -208,6 +208,18 @@ def test_line_templates_shared_with_copies(spark):
     assert all((x["n_dropped"], said in x["text"]) == (1, False) for x in got.values()) and len(got) == 53
 
 
+def test_line_templates_of_short_lines(spark):
+    import random
+
+    from millrace.llm.line_templates import drop_recurring
+
+    r = random.Random(11)
+    texts = [f"Menu\n{t}\nPage {i}\n\u6240\u6709\u6743\u5229\n\u7b2c{i}\u7ae0\u3002\n{1000 + i}\nNext page" for i in range(12) for t in _edited(r, f"s{chr(97 + i)}", 3, 20, 0, 0)]
+    for x in drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        lines = texts[x["doc_id"]].split("\n")
+        assert x["text"].split("\n") == lines[1:4] + lines[6:8] and x["n_dropped"] == 4
+
+
 def test_language(spark, docs):
     from millrace.llm.language_id import identify, predictions
 

@@ -2,9 +2,11 @@
 
 A line's path in the tree is its number of tokens and its first DEPTH tokens, or all of them where there are fewer; tokens with a digit are variable
 fields, except in lines of fewer than DEPTH tokens that would have no other (a lone number, or a sentence in a script without spaces). Paths that fewer than
-`min_docs` documents take are left out at once, which leaves few lines. On the rest, a line belongs to three templates: all its tokens with digits
-made variable, and, for lines of HALVES tokens or more, all even or all odd tokens with the others variable. A template of the last two kinds keeps half the
-tokens or more, the similarity that such trees ask of a line; both are keys of equality, so lines meet by a shuffle instead of one after another.
+`min_docs` documents take are left out at once, which leaves few lines. On the rest, a line belongs to several templates: all its tokens with digits
+made variable; for lines of HALVES tokens or more, all even or all odd tokens with the others variable; and its tokens that are frequent at their place
+among the lines of the path, with the others variable. Frequent is `min_docs` lines or more, and every power of two from there on that tells the line's
+tokens apart, so that a word that many lines share is still variable beside the words that more lines share. A template of the last kind keeps half of the
+tokens after the first DEPTH, so that a common beginning alone is none. All are keys of equality, so lines meet by a shuffle instead of one after another.
 
 A template recurs if documents of `min_docs` families hold it, however many documents each family has. A document's family is its component of near
 copies, by the verified similarity of near_dedup, among the documents that hold a template of `min_docs` documents; whole copied documents are left for
@@ -39,9 +41,10 @@ VARIABLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def line_keys(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """For each line with a token: text number, line number, path and the three templates (0 where there is none)."""
+    """For each line with a token: text number, line number, path, the three templates (0 where there is none), the number
+    of tokens, and the first of its tokens; for each token: its hash with its place, and whether it is a field."""
     starts, ends, _ = word_spans(data, off)
-    empty = {c: np.zeros(0, np.int64) for c in ("row", "line", "path", "whole", "even", "odd")}
+    empty = {c: np.zeros(0, np.int64) for c in ("row", "line", "path", "whole", "even", "odd", "count", "begin", "values", "field")}
     if not len(starts):
         return empty
     hashes = word_hashes(data, starts, ends)
@@ -64,7 +67,7 @@ def line_keys(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     position = line_starts[line_of[begin]]
     row = np.searchsorted(off, position, "right") - 1
     number = np.searchsorted(breaks, position, "left") - np.searchsorted(breaks, off[row], "left")
-    found = {"row": row, "line": number, "path": path, "whole": whole, "even": even, "odd": odd}
+    found = {"row": row, "line": number, "path": path, "whole": whole, "even": even, "odd": odd, "count": count, "begin": begin, "values": values, "field": field}
     return {c: (v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for c, v in found.items()}
 
 
@@ -92,6 +95,42 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, "doc long, line int, path long, whole long, even long, odd long")
 
 
+def tails(docs: DataFrame, likely: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, line, whole, path, tail (the number of tokens after the first DEPTH) and slots (path, place and token in one hash, without fields)."""
+    wanted = likely.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in slabs(batches, text):
+            k = line_keys(data, off)
+            lists = part.column("_wanted")
+            width = max(1, int(k["line"].max(initial=0)) + 1)
+            asked = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()) * width + lists.flatten().to_numpy()
+            chosen = np.flatnonzero((k["count"] > DEPTH) & np.isin(k["row"] * width + k["line"], asked))
+            tail = k["count"][chosen] - DEPTH
+            bounds = np.concatenate([[0], np.cumsum(tail)])
+            at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - k["begin"][chosen] - DEPTH, tail)
+            slots = mix(k["values"].view(np.uint64)[at] ^ np.repeat(mix(k["path"][chosen].view(np.uint64)), tail)).view(np.int64)
+            plain = k["field"][at] == 0
+            inside = np.concatenate([[0], np.cumsum(plain)])[bounds]
+            doc = part.column(key).cast(pa.int64()).take(pa.array(k["row"][chosen]))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(k["line"][chosen].astype(np.int32)), pa.array(k["whole"][chosen]), pa.array(k["path"][chosen]), pa.array(tail.astype(np.int32)), pa.ListArray.from_arrays(pa.array(inside.astype(np.int32)), pa.array(slots[plain]))], ["doc", "line", "whole", "path", "tail", "slots"])
+
+    asked = docs.join(wanted, docs[key] == wanted["_doc"]).select(key, text, "_wanted")
+    return asked.mapInArrow(run, "doc long, line int, whole long, path long, tail int, slots array<long>")
+
+
+def frequent(found: DataFrame, min_docs: int) -> DataFrame:
+    """doc, line and template: the frequent tokens of each line, at each power of two that tells them apart."""
+    line = ["doc", "line", "whole", "path", "tail"]
+    each = found.select(*line, F.explode("slots").alias("slot"))
+    level = F.floor(F.log2("n")).cast("int")
+    often = each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("slot", level.alias("level"))
+    sets = each.join(often, "slot").groupBy(*line).agg(F.collect_set(F.struct("level", "slot")).alias("held"))
+    levels = sets.withColumn("least", F.explode(F.array_distinct(F.col("held.level"))))
+    kept = levels.withColumn("kept", F.array_sort(F.transform(F.filter("held", lambda x: x["level"] >= F.col("least")), lambda x: x["slot"])))
+    return kept.where(2 * F.size("kept") >= F.col("tail")).select("doc", "line", F.xxhash64("path", "kept").alias("template"))
+
+
 def families(docs: DataFrame, held: DataFrame, key: str, text: str) -> DataFrame:
     """doc and family of the documents in `held`."""
     holders = held.select(F.col("doc").alias(key)).distinct()
@@ -105,6 +144,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     common = paths(keyed, key, text).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("path")
     likely = settle(lines(keyed, key, text).join(common, "path", "left_semi"), "lines")
     templates = likely.select("doc", "line", F.explode(F.array_distinct(F.filter(F.array("whole", "even", "odd"), lambda x: x != 0))).alias("template"))
+    templates = settle(templates.union(frequent(settle(tails(keyed, likely, key, text), "tails"), min_docs)), "templates")
     once = templates.select("template", "doc").distinct()
     often = once.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
     held = settle(once.join(often, "template", "left_semi"), "held")

@@ -220,6 +220,25 @@ def test_line_templates_of_short_lines(spark):
         assert x["text"].split("\n") == lines[1:4] + lines[6:8] and x["n_dropped"] == 4
 
 
+def test_line_templates_with_variable_words(spark):
+    import random
+
+    from millrace.llm.line_templates import drop_recurring
+
+    r = random.Random(13)
+    name = lambda k: "".join(r.choices("bcdfg", k=k)).title()
+    first, last = [[name(n) for _ in range(12)] for n in (7, 8)]
+    texts = []
+    for i in range(144):
+        own = _edited(r, f"v{chr(97 + i % 26)}{chr(97 + i // 26)}", 2, 20, 0, 0)[0]
+        short = [f"Posted here today by {name(9)} for readers"] if i < 12 else []
+        both = [f"The very same beginning {name(9)} {name(9)} {name(9)} {name(9)}"]
+        texts.append("\n".join([own, *short, f"Please write to office manager {first[i % 12]} {last[i // 12]} for further details", f"Brought to you by {name(9)} and his {name(9)} friends", *both]))
+    for x in drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        lines = texts[x["doc_id"]].split("\n")
+        assert x["text"].split("\n") == [*lines[:2], lines[-1]]
+
+
 def test_language(spark, docs):
     from millrace.llm.language_id import identify, predictions
 

@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest doc_id stays."""
-    kept = classes(docs).where("kept").select("doc_id").distinct()
+    """Of each component of near copies, of a similarity of 0.80 or more, the document with the smallest doc_id stays."""
+    kept = classes(docs, percent=80).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -10,8 +10,8 @@
    probability P(Binomial(n + 1, threshold) <= m); below `miss` the pair is dropped. Survivors are verified on their full shingle sets.
 5. Components of the verified links, by distributed star contraction; the smallest key stays.
 
-With 25 bands of 5 values, a pair at similarity 0.85 shares no band with probability 4e-7; a pair at the threshold fails one of the five tests with
-probability below 5e-7. No bucket, candidate list or partner list is capped.
+Bands depend on the threshold: 25 of 5 values at 0.85 and 28 of 4 at 0.80, so that a pair at the threshold shares no band with probability 5e-7 at
+most; such a pair fails one of the five tests with probability below 5e-7. No bucket, candidate list or partner list is capped.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text with fewer words than a shingle has one
 shingle; repeated rows have the same key and stay, as they are, in one class; an empty table gives an empty result; other columns are not read.
@@ -33,8 +33,7 @@ from millrace.llm.components import components
 from millrace.llm.shared import settle
 from millrace.llm.vec import LOWER, mix, shingle_hashes, slabs, word_hashes, word_spans
 
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
+HASHES, BATCH = 125, 25
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -60,11 +59,21 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
+@cache
+def shape(percent: int, miss: float = 5e-7) -> tuple[int, int]:
+    """Bands and values in a band: the longest bands with which a pair at `percent` shares none with probability `miss` at most."""
+    for rows in range(5, 0, -1):
+        bands = max(1, math.ceil(math.log(miss) / math.log1p(-min(0.999, (percent / 100) ** rows))))
+        if bands * rows <= HASHES:
+            return bands, rows
+    return HASHES, 1
+
+
+def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One hash for each band, different for equal values in different bands."""
-    x = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    total = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+    x = sig[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    total = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
         total = mix(total * np.uint64(31) + x[:, k])
     return total.view(np.int64)
 
@@ -73,7 +82,7 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 def fewest_equal(threshold: float, miss: float) -> tuple[int, ...]:
     """For 25, 50, ... signature values: the fewest equal ones at which the pair is not dropped."""
     out = []
-    for n in range(ROWS * 5, HASHES + 1, ROWS * 5):
+    for n in range(BATCH, HASHES + 1, BATCH):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -86,7 +95,7 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np
     """Of pairs of signatures in equal rows, the numbers of those that no batch drops."""
     left, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for k, least in enumerate(fewest_equal(threshold, miss)):
-        part = slice(25 * k, 25 * (k + 1))
+        part = slice(BATCH * k, BATCH * (k + 1))
         equal = equal + (a[left, part] == b[left, part]).sum(axis=1)
         stay = equal >= least
         left, equal = left[stay], equal[stay]
@@ -113,14 +122,14 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc long, n_shingles long, set_id binary, sig binary")
 
 
-def buckets(sigs: DataFrame) -> DataFrame:
+def buckets(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc, band and bucket, a row for each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                found = np.concatenate([band_hashes(np.frombuffer(x.as_buffer(), np.uint32)) for x in b.column("sig")])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc").to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(found)], ["doc", "band", "bucket"])
+                found = np.concatenate([band_hashes(np.frombuffer(x.as_buffer(), np.uint32), bands, rows) for x in b.column("sig")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc").to_numpy(), bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), b.num_rows)), pa.array(found)], ["doc", "band", "bucket"])
 
     return sigs.select("doc", "sig").mapInArrow(run, "doc long, band int, bucket long")
 
@@ -171,7 +180,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _joins(rows: pa.Table, threshold: float, miss: float, percent: int) -> pa.Table:
+def _joins(rows: pa.Table, threshold: float, miss: float, percent: int, values: int) -> pa.Table:
     """Links of one pair of blocks that join different components.
 
     Every pair of members in different components takes the test, in the first band that the two share only, and survivors are verified on their full
@@ -205,7 +214,7 @@ def _joins(rows: pa.Table, threshold: float, miss: float, percent: int) -> pa.Ta
         a, b = a[ok], b[ok]
         same = sig[a] == sig[b]
         if band and len(a):
-            later = ~same[:, : band * ROWS].reshape(len(a), band, ROWS).all(axis=2).any(axis=1)
+            later = ~same[:, : band * values].reshape(len(a), band, values).all(axis=2).any(axis=1)
             a, b, same = a[later], b[later], same[later]
         for k in np.argsort(-same.sum(axis=1), kind="stable").tolist():
             p, q = int(a[k]), int(b[k])
@@ -220,13 +229,14 @@ def _joins(rows: pa.Table, threshold: float, miss: float, percent: int) -> pa.Ta
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, miss: float = 1e-7) -> DataFrame:
     """key, n_shingles, component_id and kept for every row with a key."""
     threshold = percent / 100
+    bands, rows = shape(percent)
     base = settle(describe(docs, key, text, size), "sets")
     groups = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc").alias("first"))
     groups = settle(groups, "groups")
     firsts = settle(base.select("doc", "sig").join(groups.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select("doc", "sig").dropDuplicates(["doc"]), "firsts")
 
     # Buckets with more than one class, and the centre of each.
-    members = buckets(firsts)
+    members = buckets(firsts, bands, rows)
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settle(members.join(counts, "bucket"), "members")
     company = members.groupBy("doc").agg(F.sum("n").alias("company"))
@@ -246,7 +256,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     blocks = F.greatest(F.ceil(F.col("_n") / F.lit(BLOCK)), F.ceil(F.col("_bytes") / F.lit(BLOCK_BYTES))).cast("int")
     rest = placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "band", "doc", "component", "sig", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = settle(paired.groupBy("bucket", "i", "j").applyInArrow(lambda t: _joins(t, threshold, miss, percent), "a long, b long").distinct(), "more")
+    more = settle(paired.groupBy("bucket", "i", "j").applyInArrow(lambda t: _joins(t, threshold, miss, percent, rows), "a long, b long").distinct(), "more")
     if more.limit(1).count():
         joined = settle(components(links.union(more)), "joined")
 

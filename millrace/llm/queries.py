@@ -65,7 +65,7 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.near_dedup import classes
 
-    return classes(load(spark, sf_dir, "documents"))
+    return classes(load(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,30 @@ def test_near_dedup_parts_of_a_bucket(spark):
     assert {x["doc_id"]: x["component_id"] for x in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: find(i) for i in sets}
 
 
+def test_near_dedup_stage_takes_four_fifths(spark):
+    import random
+
+    import corpus_pipeline
+
+    from millrace.llm.near_dedup import HASHES, shape
+
+    r = random.Random(17)
+    texts = []
+    for _ in range(20):
+        base = [f"w{r.randrange(10**6)}" for _ in range(204)]
+        for changed in ((), (20, 60, 100, 140), (20, 60, 100, 140, 180)):  # similarity 0.82 and 0.78 to the first
+            texts.append(" ".join(f"v{r.randrange(10**6)}" if k in changed else w for k, w in enumerate(base)))
+    pairs = [t for i, t in enumerate(texts) if i % 3 < 2]
+    far = [t for i, t in enumerate(texts) if i % 3 != 1]
+    for chosen, left in ((pairs, 20), (far, 40)):
+        frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(chosen)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert corpus_pipeline.near_dedup(spark, frame, "").count() == left
+    assert shape(85) == (25, 5)
+    for percent in (50, 80, 85, 95):
+        bands, rows = shape(percent)
+        assert bands * rows <= HASHES and (1 - (percent / 100) ** rows) ** bands <= 5e-7
+
+
 def test_suffix_dedup(docs, texts):
     from millrace.llm.suffix_dedup import cut_repeats
 

@@ -34,9 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, of a similarity of 0.80 or more, the document with the smallest doc_id stays."""
+    """Of each component of near copies, of a similarity of 0.80 or more, the document with the smallest doc_id stays.
+
+    Rows without a doc_id are in no component and stay.
+    """
     kept = classes(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

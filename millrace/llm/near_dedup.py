@@ -14,7 +14,8 @@ Bands depend on the threshold: 25 of 5 values at 0.85 and 28 of 4 at 0.80, so th
 most; such a pair fails one of the five tests with probability below 5e-7. No bucket, candidate list or partner list is capped.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text with fewer words than a shingle has one
-shingle; repeated rows have the same key and stay, as they are, in one class; an empty table gives an empty result; other columns are not read.
+shingle; repeated rows have the same key and stay, as they are, in one class; rows with a null key get no row here (the pipeline's
+stage keeps them); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -125,6 +125,14 @@ def test_near_dedup_stage_takes_four_fifths(spark):
         assert bands * rows <= HASHES and (1 - (percent / 100) ** rows) ** bands <= 5e-7
 
 
+def test_near_dedup_stage_keeps_rows_without_id(spark):
+    import corpus_pipeline
+
+    rows = [(i, "one text of a few words that is here more than once", "en", "s", 51) for i in (4, 3, None, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert [x["doc_id"] for x in got if x["doc_id"] is not None] == [3] and len(got) == 3 and all(x["text"] == rows[0][1] for x in got)
+
+
 def test_suffix_dedup(docs, texts):
     from millrace.llm.suffix_dedup import cut_repeats
 

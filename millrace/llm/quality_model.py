@@ -5,8 +5,8 @@ approximate a Gaussian kernel. Each task sums its rows' normal equations into on
 driver. The ridge scores of the training rows, in a histogram of fixed size, are made monotone by pooling adjacent violators, which turns a score into the
 share of label 1 seen at it. Scoring is one pass without a shuffle.
 
-Training uses every labelled row that is not held out; what reaches the driver is a matrix for each task, added by a tree of shuffles, and a
-histogram.
+Training uses the labelled rows that are not held out, from about `most` of them on a sample of that size by a hash of the key; what reaches the driver
+is eight sums of matrices of the tasks, and a histogram.
 
 Defined cases: null texts count as empty and are scored like empty ones; repeated rows score alike; without labelled rows every score is 0; rows with a
 null key are scored and count as not held out; labels that differ for one key are left out of training.

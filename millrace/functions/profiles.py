@@ -67,7 +67,7 @@ class Build:
     least_fresh: int = 200
     shard_docs: int = 50_000
     bytes_per_token: float = 3.6
-    nfc: bool = False
+    nfc: bool = True
     lexer: str = CORPUS_WORDS
 
 

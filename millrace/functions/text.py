@@ -42,7 +42,7 @@ def _menu_line(line: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Line ends unified, spaces collapsed, menu lines dropped, blank lines collapsed, stripped. NFC is udfs.nfc, before this."""
+    """Line ends unified, spaces collapsed, menu lines dropped, blank lines collapsed, stripped. NFC is udfs.composed, before this."""
     unified = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     lines = F.filter(F.split(spaces_collapsed(unified), "\n"), lambda line: ~_menu_line(line))
     return strip(blank_lines_collapsed(F.array_join(lines, "\n")))

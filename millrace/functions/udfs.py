@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType
+from pyspark.sql.types import LongType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -16,18 +19,33 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@cache
+def _may_change() -> str:
+    """A pattern of the characters that a text which is not composed must hold: those that composition replaces, moves or joins to what stands before them."""
+    codes = [c for c in range(0xA0, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    joined = {ord(x) for c in codes if not 0xAC00 <= c < 0xD7A4 for x in unicodedata.normalize("NFD", chr(c))[1:]}
+    jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    found = [c for c in codes if c in joined or c in jamo or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition; only texts with a character that it could change leave the JVM."""
+    return F.coalesce(nfc(F.when(text.rlike(_may_change()), text)), text)
+
+
 @F.pandas_udf(StringType())
 def nfd_fold(texts: pd.Series) -> pd.Series:
     """Lower case, decomposed, without marks, for every character; text.fold is the built-in way."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf(BinaryType())
-def blake2b_128(texts: pd.Series) -> pd.Series:
-    """16-byte BLAKE2b of the UTF-8 bytes."""
-    return texts.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=16).digest())
-
-
 @F.pandas_udf(LongType())
 def blake2b_32(texts: pd.Series) -> pd.Series:
     """4-byte BLAKE2b of the UTF-8 bytes as an unsigned number."""

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.profiles import Build
-from millrace.functions.udfs import nfc
+from millrace.functions.udfs import composed
 from millrace.operators import gates
-from millrace.sources.stage import checkpointed
+from millrace.sources.stage import ranges, settle
 
 ORDER = ("priority", "doc_ord")
 
@@ -25,7 +25,7 @@ def with_order(docs: DataFrame) -> DataFrame:
 
 def gated(docs: DataFrame, b: Build) -> DataFrame:
     """Cleaned text and the reason of the quality, language and translation gates."""
-    cleaned = docs.withColumn("text", nfc(F.coalesce("text", F.lit("")))) if b.nfc else docs
+    cleaned = docs.withColumn("text", composed(F.coalesce("text", F.lit("")))) if b.nfc else docs
     cleaned = cleaned.withColumn("text", T.clean(F.col("text"))).withColumn("words", T.lexed(F.col("text"), b.lexer))
     reason = gates.quality_reason(F.col("text"), F.col("words"), b.quality)
     if b.language:
@@ -35,11 +35,19 @@ def gated(docs: DataFrame, b: Build) -> DataFrame:
     return cleaned.withColumn("reason", reason).drop("words")
 
 
+def passed(docs: DataFrame, b: Build) -> DataFrame:
+    """Rows that pass all gates. All rows are written with their reason first, so that no filter repeats the work behind it."""
+    return settle(gated(docs, b), "gated").where("reason IS NULL")
+
+
 def first_documents(docs: DataFrame) -> DataFrame:
-    """`first_document`: whether no earlier row has the same text. One aggregate and one join on the digest."""
-    keyed = docs.withColumn("_digest", F.md5("text"))
-    first = keyed.groupBy("_digest").agg(F.min(F.struct(*ORDER)).alias("_first"))
-    return keyed.join(first, "_digest").withColumn("first_document", F.struct(*ORDER) == F.col("_first")).drop("_digest", "_first")
+    """`first_document`: whether no earlier row has the same text.
+
+    Only digests and order columns are aggregated; the answer comes back by the order columns, so a text that very many rows share is no hot key.
+    """
+    keyed = docs.select(*ORDER, F.md5("text").alias("_digest"))
+    first = keyed.groupBy("_digest").agg(F.min(F.struct(*ORDER)).alias("_f")).select("_f.*", F.lit(True).alias("_first"))
+    return docs.join(first, list(ORDER), "left").withColumn("first_document", F.coalesce("_first", F.lit(False))).drop("_first")
 
 
 def exploded_segments(docs: DataFrame) -> DataFrame:
@@ -52,10 +60,9 @@ def fresh_segments(segments: DataFrame, floor: int) -> DataFrame:
 
     A segment of a document that is dropped later still counts as seen, so one pass decides.
     """
-    long = segments.where(F.length("seg") >= floor).withColumn("_d", F.md5("seg"))
-    first = long.groupBy("_d").agg(F.min(F.struct(*ORDER, "pos")).alias("_f"))
-    marked = long.join(first, "_d").withColumn("fresh", F.struct(*ORDER, "pos") == F.col("_f")).drop("_d", "_f")
-    return marked.unionByName(segments.where(F.length("seg") < floor).withColumn("fresh", F.lit(True)))
+    long = F.length("seg") >= floor
+    first = segments.where(long).groupBy(F.md5("seg")).agg(F.min(F.struct(*ORDER, "pos")).alias("_f")).select("_f.*", F.lit(True).alias("_first"))
+    return segments.join(first, [*ORDER, "pos"], "left").withColumn("fresh", ~long | F.coalesce("_first", F.lit(False))).drop("_first")
 
 
 def build(docs: DataFrame, b: Build = Build()) -> DataFrame:
@@ -63,9 +70,9 @@ def build(docs: DataFrame, b: Build = Build()) -> DataFrame:
 
     `reason_detail` tells exact copies from documents with too little fresh text.
     """
-    rows = checkpointed(gated(docs, b))  # cleaned once, used by both deduplications
-    passed = checkpointed(first_documents(rows.where("reason IS NULL")))
-    segs = fresh_segments(exploded_segments(passed.where("first_document")), b.dedup_floor)
+    rows = settle(gated(docs, b), "gated")  # cleaned once, used by both deduplications
+    first = settle(first_documents(rows.where("reason IS NULL")), "first")
+    segs = fresh_segments(settle(exploded_segments(first.where("first_document")), "segments"), b.dedup_floor)
     joined = segs.groupBy(*ORDER).agg(
         F.max("sep").alias("_sep"),
         F.count(F.lit(1)).alias("_all"),
@@ -73,7 +80,7 @@ def build(docs: DataFrame, b: Build = Build()) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("fresh"), F.length("seg"))), F.lit(0)).alias("_chars"),
         F.array_sort(F.collect_list(F.when(F.col("fresh"), F.struct("pos", "seg")))).alias("_segs"),
     )
-    done = passed.drop("reason").join(joined, list(ORDER), "left")
+    done = first.drop("reason").join(joined, list(ORDER), "left")
     detail = F.when(~F.col("first_document"), "copy").when(F.coalesce("_chars", F.lit(0)) < b.least_fresh, "little fresh text")
     done = done.withColumn("reason_detail", detail).withColumn("reason", F.when(detail.isNotNull(), "duplicate"))
     kept = F.array_join(F.transform("_segs", lambda s: s["seg"]), "\n")
@@ -98,12 +105,12 @@ def source_counts(built: DataFrame) -> DataFrame:
     return reasons.unionByName(totals.unpivot("source", ["read", "chars", "partly duplicate"], "reason", "n"))
 
 
-def ranked(df: DataFrame, order: tuple[str, ...], parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, order: tuple[str, ...], parts: int | None = None) -> DataFrame:
     """`rank` from 0 in a total order without one task for all rows: ranges first, then counts before each range."""
     from pyspark.sql import Window as W
 
     # Written once: two computations of the ranges could draw their bounds differently.
-    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = settle(df.repartitionByRange(parts or ranges(df), *order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
     sums = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = sums.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_b")  # one row for each range

@@ -89,11 +89,64 @@ def patience(history: DataFrame, most: int, margin: float = 1e-4) -> DataFrame:
     return ordered.select("run", F.aggregate("h", start, step).alias("r")).select("run", F.col("r.best").alias("best"), F.col("r.waited").alias("waited"), F.col("r.stopped").alias("stopped"))
 
 
-def training_plan(blocks: int, block: int, batch: int, accumulation: int, epochs: int, parameters: int) -> dict[str, int]:
-    """Steps and tokens of a run, and the tokens that 20 for each parameter would be."""
-    per_step = batch * accumulation
-    steps = max(1, blocks // per_step)
-    return {"tokens_per_step": per_step * block, "steps_per_epoch": steps, "total_steps": steps * epochs, "tokens_wanted": 20 * parameters}
+def block_perplexity(losses: DataFrame, *by: str) -> DataFrame:
+    """Perplexity from the mean loss of blocks of equal length, from rows with `loss`."""
+    return losses.groupBy(*by).agg(perplexity(F.avg("loss")).alias("perplexity"))
+
+
+def held_out_loss(losses: DataFrame, limit: int, batch: int, *by: str) -> DataFrame:
+    """Mean loss over the blocks that whole batches take until `limit` blocks are reached, from (block_id, loss); block_id counts from 0 without gaps.
+
+    Batches weigh by their blocks, so their means add up to the mean of the blocks.
+    """
+    taken = F.ceil(F.lit(limit) / F.lit(batch)) * batch
+    return losses.where(F.col("block_id") < taken).groupBy(*by).agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("blocks"))
+
+
+def window_losses(windows: DataFrame, starts: tuple[int, ...] = (0, 600), length: int = 64, *by: str) -> DataFrame:
+    """Mean loss of windows of `length` tokens at each start, over texts that reach so far; NaN where none does. From (start, tokens, loss)."""
+    asked = windows.select(*by).distinct().withColumn("start", F.explode(F.array(*[F.lit(s) for s in starts])))
+    means = windows.where(F.col("tokens") >= F.col("start") + length).groupBy(*by, "start").agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("texts"))
+    found = asked.join(means, [*by, "start"], "left")
+    return found.withColumn("loss", F.coalesce("loss", F.lit(float("nan")))).withColumn("texts", F.coalesce("texts", F.lit(0)).cast("long"))
+
+
+def stop_rate(made: DataFrame, *by: str) -> DataFrame:
+    """How many texts ended by themselves, and of how many, from (last_id, end_id, prompt_tokens, tokens, most_new)."""
+    ended = (F.col("last_id") == F.col("end_id")) | (F.col("tokens") < F.col("prompt_tokens") + F.col("most_new"))
+    return made.groupBy(*by).agg(F.count_if(ended).alias("stopped"), F.count(F.lit(1)).alias("prompts"))
+
+
+def can_end(end_id: Column, vocabulary: Column) -> Column:
+    """Whether a model can emit its end id at all; an unset id counts as 0."""
+    return F.coalesce(end_id, F.lit(0)) < vocabulary
+
+
+def throughput(checks: DataFrame) -> DataFrame:
+    """Tokens seen, tokens a second and hours left at each check, from (step, first_step, total_steps, tokens_per_step, seconds); steps count from 0."""
+    seen = (F.col("step") + 1 - F.col("first_step")) * F.col("tokens_per_step")
+    rate = seen / F.col("seconds")
+    left = (F.col("total_steps") - F.col("step") - 1) * F.col("tokens_per_step") / F.greatest(rate, F.lit(1.0)) / 3600
+    return checks.select((F.col("step") + 1).alias("step"), seen.alias("tokens_seen"), F.bround(rate).cast("long").alias("tokens_per_second"), left.alias("hours_left"))
+
+
+def compared(measures: DataFrame, models: list[str], model: str = "model", name: str = "measure", value: str = "value") -> DataFrame:
+    """One row for each measure and a column for each model, from long rows."""
+    return measures.groupBy(name).pivot(model, models).agg(F.first(value, ignorenulls=True))
+
+
+def fertility_delta(mine: Column, theirs: Column) -> Column:
+    """By how many percent a tokenizer's token counts differ from another's on the same text."""
+    return 100 * (mine / theirs - 1)
+
+
+def training_arithmetic(runs: DataFrame) -> DataFrame:
+    """Steps and tokens of runs, and whether they see fewer than 20 tokens a parameter, from (run, blocks, block, batch, accumulation, epochs, parameters)."""
+    per_step = F.col("batch") * F.col("accumulation")
+    steps = F.greatest(F.lit(1), F.floor(F.col("blocks") / per_step))
+    total = F.floor(F.col("epochs") * steps)
+    short = F.col("blocks") * F.col("block") * F.col("epochs") < 20 * F.col("parameters")
+    return runs.select("run", (per_step * F.col("block")).cast("long").alias("tokens_per_step"), steps.cast("long").alias("steps_per_epoch"), total.cast("long").alias("total_steps"), (20 * F.col("parameters")).cast("long").alias("tokens_wanted"), short.alias("short"))
 
 
 def survey(sources: DataFrame, bytes_per_token: float = 3.6) -> DataFrame:
@@ -107,6 +160,18 @@ def survey_totals(surveyed: DataFrame, wanted: float = 2.24e9) -> DataFrame:
     return surveyed.agg(usable.alias("usable_tokens"), F.count(F.lit(1)).alias("sources"), F.round(usable / wanted, 6).alias("share"))
 
 
+def survey_document(surveyed: DataFrame, bytes_per_token: float = 3.6) -> DataFrame:
+    """The survey as one JSON document: what a token takes, usable tokens, and all sources by name. Sources are a short list by nature."""
+    one = F.struct("source", "bytes", F.col("tokens").cast("long").alias("tokens"), "note", "evaluation")
+    usable = F.coalesce(F.sum(F.when(~F.col("evaluation"), F.col("tokens"))), F.lit(0)).cast("long")
+    return surveyed.agg(usable.alias("u"), F.array_sort(F.collect_list(one)).alias("s")).select(F.to_json(F.struct(F.lit(bytes_per_token).alias("bytes_per_token"), F.col("u").alias("usable_tokens"), F.col("s").alias("sources"))).alias("document"))
+
+
+def configs(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct configurations, in order."""
+    return rows.select(*columns).distinct().orderBy(*columns)
+
+
 def fertility(counted: DataFrame) -> DataFrame:
     """Tokens by white-space words over all texts, from (tokens, words)."""
     return counted.agg((F.sum("tokens") / F.greatest(F.sum("words"), F.lit(1))).alias("fertility"), F.count(F.lit(1)).alias("documents"))

@@ -7,14 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.sources.stage import checkpointed
+from millrace.sources.stage import free, settle
 
 
 def exact_first(docs: DataFrame) -> DataFrame:
-    """`copy`: whether an earlier row has the same text."""
-    keyed = docs.withColumn("_d", F.md5("text"))
-    first = keyed.groupBy("_d").agg(F.min("doc_id").alias("_f"))
-    return keyed.join(first, "_d").withColumn("copy", F.col("doc_id") != F.col("_f")).drop("_d", "_f")
+    """`copy`: whether an earlier row has the same text. Digests are aggregated, and the answer comes back by doc_id."""
+    first = docs.groupBy(F.md5("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(False).alias("copy"))
+    return docs.join(first, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(True)))
 
 
 def shingle_sets(docs: DataFrame, size: int = 13, step: int = 3) -> DataFrame:
@@ -30,7 +29,7 @@ def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     Prefix filter: two sets above the threshold share one of the rarest n - ceil(threshold * n) + 1 members of each, so only these are joined on,
     and members that very many documents hold drop out of the join. Candidates are then verified on their whole sets.
     """
-    sets = checkpointed(sets)
+    sets = settle(sets, "shingles")
     members = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     weights = members.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     common = members.join(weights.where("df > 1"), "s")
@@ -51,22 +50,24 @@ def resolve(pairs: DataFrame) -> DataFrame:
 
     The same as going through the documents in order; each round decides all whose earlier neighbours are decided.
     """
-    open_pairs = checkpointed(pairs.select("a", "b"))
+    open_pairs = settle(pairs.select("a", "b"), "pairs")
     first = open_pairs.select(F.col("a").alias("doc_id")).join(open_pairs.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").distinct()
     state = first.withColumn("kept", F.lit(True))
     while True:
         known = state.select(F.col("doc_id").alias("a"), "kept")
         told = open_pairs.join(state.select(F.col("doc_id").alias("b")), "b", "left_anti").join(known, "a", "left")
         now = told.groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("all")).where("hit OR all")
-        new = checkpointed(now.select(F.col("b").alias("doc_id"), (~F.col("hit")).alias("kept")))
+        new = settle(now.select(F.col("b").alias("doc_id"), (~F.col("hit")).alias("kept")), "decided")
         if new.isEmpty():
+            free(new)
             return state.join(open_pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        state = checkpointed(state.unionByName(new))
+        before, state = state, settle(state.unionByName(new), "state")
+        free(before, new)
 
 
 def prepared(docs: DataFrame, threshold: float = 0.8, least_chars: int = 200) -> DataFrame:
     """doc_id, cleaned text and outcome (short, copy, near copy, kept) of every document."""
-    cleaned = checkpointed(docs.select("doc_id", T.clean_small(F.col("text")).alias("text")))
+    cleaned = settle(docs.select("doc_id", T.clean_small(F.col("text")).alias("text")), "cleaned")
     short = cleaned.where(F.length("text") < least_chars).withColumn("outcome", F.lit("short"))
     marked = exact_first(cleaned.where(F.length("text") >= least_chars))
     copies = marked.where("copy").drop("copy").withColumn("outcome", F.lit("copy"))

@@ -34,9 +34,8 @@ def rejected(pairs: DataFrame, p: Pairs = Pairs()) -> DataFrame:
 
 def deduplicated(pairs: DataFrame, order: tuple[str, ...], p: Pairs = Pairs()) -> DataFrame:
     """The first pair, in order, of each folded and shortened instruction."""
-    keyed = pairs.withColumn("_k", F.substring(T.fold(F.col("instruction")), 1, p.key_chars))
-    first = keyed.groupBy("_k").agg(F.min(F.struct(*order)).alias("_f"))
-    return keyed.join(first, "_k").where(F.struct(*order) == F.col("_f")).drop("_k", "_f")
+    first = pairs.groupBy(F.substring(T.fold(F.col("instruction")), 1, p.key_chars)).agg(F.min(F.struct(*order)).alias("_f"))
+    return pairs.join(first.select("_f.*"), list(order), "left_semi")
 
 
 def report(pairs: DataFrame) -> DataFrame:
@@ -54,7 +53,15 @@ def report(pairs: DataFrame) -> DataFrame:
     )
 
 
-def per_task(pairs: DataFrame, task: str, order: str, chars: int = 32) -> DataFrame:
-    """Rows by shortened task, most first, ties by the first seen; `place` is from 1."""
-    counts = pairs.groupBy(F.substring(task, 1, chars).alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
+def per_task(pairs: DataFrame, task: str, order: tuple[str, ...], chars: int = 32) -> DataFrame:
+    """Rows by shortened task, most first, ties by the first seen in the given order; `place` is from 1.
+
+    `order` has to tell rows apart. What is ranked is one row for each task.
+    """
+    counts = pairs.groupBy(F.substring(task, 1, chars).alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_first"))
     return counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "_first"))).drop("_first")
+
+
+def samples(pairs: DataFrame, order: tuple[str, ...], n: int = 5, instruction: int = 170, response: int = 280) -> DataFrame:
+    """The first pairs in order, shortened for a report."""
+    return pairs.orderBy(*order).limit(n).select(*order, F.substring("instruction", 1, instruction).alias("instruction"), F.substring("response", 1, response).alias("response"))

@@ -10,18 +10,71 @@ from pyspark.sql import functions as F
 
 # The topics, kinds and settings that prompts combine, and the prompt itself.
 DOMAINS = (
-    "lavi chak jou|sante ak byennèt|agrikilti ak jaden|edikasyon ak lekòl|biznis ak lajan|teknoloji ak telefòn|kilti ak istwa Ayiti|manje ak kizin|dwa sitwayen|travay ak metye|fanmi ak timoun|vwayaj ak transpò"
-    "|mizik ak dans|espò ak jwèt|relijyon ak kwayans|anviwònman ak dlo|move tan ak siklòn|kay ak konstriksyon|mache ak komès|bèt ak elvaj|lapolis ak sekirite|lajistis ak tribinal|bank ak prè|entènèt ak rezo sosyal"
-    "|maladi ak remèd|gwosès ak tibebe|granmoun ak swen|andikap ak aksè|dyaspora ak imigrasyon|lang ak literati|jounal ak radyo|atizana ak metye men|lapèch ak lanmè|elektrisite ak enèji|fatra ak pwòpte|maryaj ak seremoni"
-    "|lantèman ak dèy|jaden dlo ak irigasyon|kredi ak sòl|chomaj ak djòb"
-).split("|")
+    "lavi chak jou",
+    "sante ak byennèt",
+    "agrikilti ak jaden",
+    "edikasyon ak lekòl",
+    "biznis ak lajan",
+    "teknoloji ak telefòn",
+    "kilti ak istwa Ayiti",
+    "manje ak kizin",
+    "dwa sitwayen",
+    "travay ak metye",
+    "fanmi ak timoun",
+    "vwayaj ak transpò",
+    "mizik ak dans",
+    "espò ak jwèt",
+    "relijyon ak kwayans",
+    "anviwònman ak dlo",
+    "move tan ak siklòn",
+    "kay ak konstriksyon",
+    "mache ak komès",
+    "bèt ak elvaj",
+    "lapolis ak sekirite",
+    "lajistis ak tribinal",
+    "bank ak prè",
+    "entènèt ak rezo sosyal",
+    "maladi ak remèd",
+    "gwosès ak tibebe",
+    "granmoun ak swen",
+    "andikap ak aksè",
+    "dyaspora ak imigrasyon",
+    "lang ak literati",
+    "jounal ak radyo",
+    "atizana ak metye men",
+    "lapèch ak lanmè",
+    "elektrisite ak enèji",
+    "fatra ak pwòpte",
+    "maryaj ak seremoni",
+    "lantèman ak dèy",
+    "jaden dlo ak irigasyon",
+    "kredi ak sòl",
+    "chomaj ak djòb",
+)
 TASKS = (
-    "yon kesyon ak repons li|rezime yon ti tèks ou mete nèt andedan enstriksyon an|senplifye yon fraz ki difisil pou yon moun ki pa li anpil|yon vire nan yon konvèsasyon natirèl ant de moun"
-    "|klasifye santiman oswa entansyon yon ti mesaj ou bay|rale enfòmasyon presi nan yon ti tèks ou bay|reekri yon fraz pou li pi poli oswa pi kout|bay yon lis etap pou fè yon bagay"
-).split("|")
+    "yon kesyon ak repons li",
+    "rezime yon ti tèks ou mete nèt andedan enstriksyon an",
+    "senplifye yon fraz ki difisil pou yon moun ki pa li anpil",
+    "yon vire nan yon konvèsasyon natirèl ant de moun",
+    "klasifye santiman oswa entansyon yon ti mesaj ou bay",
+    "rale enfòmasyon presi nan yon ti tèks ou bay",
+    "reekri yon fraz pou li pi poli oswa pi kout",
+    "bay yon lis etap pou fè yon bagay",
+)
 ANGLES = (
-    "pou yon jenn moun|pou yon granmoun|nan zòn riral|nan yon gwo vil|pou yon ti biznis|nan yon fanmi|pou yon elèv|pou yon moun kap travay|nan yon sitiyasyon ijan|nan lavi chak jou|pou yon gwoup nan kominote a|pou yon moun ki fèk kòmanse"
-).split("|")
+    "pou yon jenn moun",
+    "pou yon granmoun",
+    "nan zòn riral",
+    "nan yon gwo vil",
+    "pou yon ti biznis",
+    "nan yon fanmi",
+    "pou yon elèv",
+    "pou yon moun kap travay",
+    "nan yon sitiyasyon ijan",
+    "nan lavi chak jou",
+    "pou yon gwoup nan kominote a",
+    "pou yon moun ki fèk kòmanse",
+)
 SHAPE = '[{"enstriksyon": "...", "repons": "..."}]'
 TEMPLATE = f"""W ap ede bati yon seri done pou antrene yon modèl lang nan kreyòl ayisyen.
 
@@ -39,7 +92,8 @@ Règ:
 
 def grid(spark: SparkSession, seed: int = 42) -> DataFrame:
     """All combinations with `job`, their place in a seeded hash order; three fixed lists."""
-    made = spark.createDataFrame([(x,) for x in DOMAINS], "domain string").crossJoin(spark.createDataFrame([(x,) for x in TASKS], "task string")).crossJoin(spark.createDataFrame([(x,) for x in ANGLES], "angle string"))
+    one, two, three = (spark.createDataFrame([(x,) for x in values], f"{name} string").coalesce(1) for name, values in (("domain", DOMAINS), ("task", TASKS), ("angle", ANGLES)))
+    made = one.crossJoin(two).crossJoin(three)
     from millrace.operators.corpus import ranked
 
     order = made.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "domain", "task", "angle")))
@@ -82,11 +136,11 @@ def asked(jobs: DataFrame, ask: Callable[[str], str], count: int = 10) -> DataFr
 def generate(spark: SparkSession, ask: Callable[[str], str], target: int = 30_000, per_call: int = 10, seed: int = 42, p=None) -> tuple[DataFrame, dict[str, int]]:
     """Kept pairs in order of their jobs, `target` at most, and how many were dropped for each reason.
 
-    Calls go out in waves sized by the yield so far; a wave's pairs are checkpointed, so no call is made twice.
+    Calls go out in waves sized by the yield so far; a wave's replies are written, so no call is made twice.
     """
     from millrace.functions.profiles import Pairs
     from millrace.operators import pairs as P
-    from millrace.sources.stage import checkpointed
+    from millrace.sources.stage import settle
 
     p = p or Pairs()
     cells, budget, attempted, kept, every = grid(spark, seed), -(-target // per_call) * 3, 0, 0, None
@@ -94,7 +148,7 @@ def generate(spark: SparkSession, ask: Callable[[str], str], target: int = 30_00
     while kept < target and attempted < budget:
         wave = wave_size(kept, attempted, target, per_call, budget)
         jobs = spark.range(attempted, attempted + wave).withColumnRenamed("id", "call").withColumn("job", F.pmod(F.col("call"), F.lit(n))).join(F.broadcast(cells), "job")
-        replies = checkpointed(asked(jobs.repartition(spark.sparkContext.defaultParallelism), ask, per_call))
+        replies = settle(asked(jobs.repartition(spark.sparkContext.defaultParallelism), ask, per_call), "replies")
         every = replies if every is None else every.unionByName(replies)
         attempted += wave
         judged = P.rejected(P.parsed(every.where("reply IS NOT NULL")), p)

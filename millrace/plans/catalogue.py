@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,8 +14,9 @@ from millrace.functions import udfs
 from millrace.functions.profiles import CORPUS_WORDS, Build, Language, Pairs
 from millrace.operators import corpus, gates, glue, metrics, near, packing, pairs, prompts
 from millrace.plans import oracles
-from millrace.plans.inline import HISTORY, MADE, REPLIES, SCORED, SCORED_TEXTS, SOURCES
-from millrace.sources.stage import checkpointed
+from millrace.plans.inline import BLOCK_LOSSES, CHECKS, CONFIGS, ENDINGS, HISTORY, MADE, PAGES, REPLIES, RUNS, SCORED, SCORED_TEXTS, SOURCES, TOKEN_COUNTS, VOCABULARIES, WINDOWS
+from millrace.sources import readers, writers
+from millrace.sources.stage import settle, shared_dir
 from millrace.sources.tables import load, spread
 
 #: The documents are in other languages than the default gate asks for, so later stages are exercised without it.
@@ -77,8 +79,7 @@ def mt_disclosure(spark, sf_dir):
 
 
 def doc_dedup(spark, sf_dir):
-    gated = corpus.gated(ordered(spark, sf_dir), OPEN).where("reason IS NULL")
-    return corpus.first_documents(gated).select(F.col("doc_ord").alias("doc_id"), "first_document")
+    return corpus.first_documents(corpus.passed(ordered(spark, sf_dir), OPEN)).select(F.col("doc_ord").alias("doc_id"), "first_document")
 
 
 def segment_counts(spark, sf_dir):
@@ -87,8 +88,8 @@ def segment_counts(spark, sf_dir):
 
 
 def _fresh(spark, sf_dir):
-    gated = checkpointed(corpus.gated(ordered(spark, sf_dir), OPEN).where("reason IS NULL"))
-    return corpus.fresh_segments(checkpointed(corpus.exploded_segments(corpus.first_documents(gated).where("first_document"))), OPEN.dedup_floor)
+    first = corpus.first_documents(corpus.passed(ordered(spark, sf_dir), OPEN)).where("first_document")
+    return corpus.fresh_segments(settle(corpus.exploded_segments(first), "segments"), OPEN.dedup_floor)
 
 
 def segment_dedup(spark, sf_dir):
@@ -117,8 +118,8 @@ def shard_assignment(spark, sf_dir):
 
 
 def _distinct_small(spark, sf_dir):
-    cleaned = documents(spark, sf_dir).select("doc_id", T.clean_small(F.col("text")).alias("text")).where(F.length("text") >= 200)
-    return near.exact_first(checkpointed(cleaned)).where(~F.col("copy"))
+    cleaned = settle(documents(spark, sf_dir).select("doc_id", T.clean_small(F.col("text")).alias("text")), "cleaned")
+    return near.exact_first(cleaned.where(F.length("text") >= 200)).where(~F.col("copy"))
 
 
 def shingle_counts(spark, sf_dir):
@@ -202,7 +203,7 @@ def sft_report(spark, sf_dir):
 
 def sft_per_task(spark, sf_dir):
     found = pairs.from_turns(load(spark, sf_dir, "conversations")).withColumn("task", F.substring("instruction", 1, 1))
-    return pairs.per_task(found, "task", "conv_id").withColumn("place", F.col("place").cast("long"))
+    return pairs.per_task(found, "task", ("conv_id", "turn")).withColumn("place", F.col("place").cast("long"))
 
 
 def prompt_grid(spark, sf_dir):
@@ -268,22 +269,141 @@ def pretoken_counts(spark, sf_dir):
 
 
 def streaming_dedup(spark, sf_dir):
-    import uuid
-
     from millrace.streaming import seen
 
     schema = load(spark, sf_dir, "documents").schema
-    checkpointed(spark.range(1))  # makes sure that a shared folder is set
-    where = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     seen.run_once(spark, f"{sf_dir}/documents.parque[t]", schema, f"{where}/out", f"{where}/state")
     return spark.read.parquet(f"{where}/out").select("digest")
 
 
+def clean_composed(spark, sf_dir):
+    """The build's cleaning with composition, over texts whose accents have been taken apart."""
+    apart = F.replace(F.replace(F.col("text"), F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u00fc"), F.lit("u\u0308"))
+    gated = corpus.gated(ordered(spark, sf_dir).withColumn("text", apart), OPEN)
+    return gated.select(F.col("doc_ord").alias("doc_id"), F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+def source_head(spark, sf_dir):
+    return readers.head(load(spark, sf_dir, "documents"), 5, "doc_id", by="source").select("doc_id", "source")
+
+
+def source_registry(spark, sf_dir):
+    known = readers.registered(spark, [(f"src{k}", f"{sf_dir}/documents.parquet", k % 5 == 0) for k in range(20)], ["src7", "src3", "none", "src5"])
+    rows = load(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(rows, "source", "left").select("priority", "source", "sentences", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def source_configs(spark, sf_dir):
+    return metrics.configs(load(spark, sf_dir, "documents"), "source", "lang")
+
+
+def survey_document(spark, sf_dir):
+    return metrics.survey_document(metrics.survey(spark.createDataFrame(SOURCES, "source string, bytes_memory long, bytes_files long, note string")))
+
+
+def nearest_configs(spark, sf_dir):
+    names = spark.createDataFrame(CONFIGS, "dataset string, config string").groupBy("dataset").agg(F.collect_set("config").alias("names"))  # a dataset's few configurations
+    return names.select("dataset", F.array_join(metrics.nearest_configs(F.col("names")), ",").alias("near"))
+
+
+def published_summary(spark, sf_dir):
+    return readers.published(spark.createDataFrame(PAGES, "name string, text string"))
+
+
+def pack_manifest(spark, sf_dir):
+    return packing.manifest(_word_ids(spark, sf_dir).select("split", F.size("ids").cast("long").alias("n_tokens")), 256)
+
+
+def pack_source_counts(spark, sf_dir):
+    return packing.hash_split(documents(spark, sf_dir), 0.05).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("split") == "val").alias("held_out"))
+
+
+def block_subset(spark, sf_dir):
+    packed = packing.blocks(_word_ids(spark, sf_dir), 256)
+    rows = packed.select("split", "block_id").where("block_id % 7 = 3")
+    return packing.chosen_blocks(packed, rows).select("split", "block_id", F.aggregate("ids", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
+
+
+def scoring_blocks(spark, sf_dir):
+    """Blocks that texts are scored by: of the first 400,000 characters, 40 at most; that is the feature."""
+    ids = F.transform(T.whitespace_words(F.substring("text", 1, 400_000)), F.length)
+    return packing.text_blocks(documents(spark, sf_dir), ids, 64, 40).select("doc_id", "block_id", F.aggregate("ids", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
+
+
+def tokenizer_split(spark, sf_dir):
+    return packing.tokenizer_split(documents(spark, sf_dir).select("doc_id"), 100, 500, "doc_id")
+
+
+def sft_samples(spark, sf_dir):
+    return pairs.samples(pairs.from_turns(load(spark, sf_dir, "conversations")), ("conv_id", "turn"))
+
+
+def sft_output(spark, sf_dir):
+    """What the sink of instruction pairs holds: written, and read again strictly."""
+    where = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    writers.pairs(pairs.from_turns(load(spark, sf_dir, "conversations")), where, 50, "conv_id", "turn")
+    rows = spark.read.schema("instruction string, response string").option("mode", "FAILFAST").json(where)
+    return rows.select(F.md5("instruction").alias("instruction"), F.md5("response").alias("response"))
+
+
+def token_output(spark, sf_dir):
+    """What the flat token files hold: written in pieces, and read again."""
+    where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    writers.token_files(packing.blocks(_word_ids(spark, sf_dir), 256), where)
+    parts = [readers.token_blocks(spark, f"{where}/{split}/*.bin", 256).withColumn("split", F.lit(split)) for split in ("train", "val")]
+    return parts[0].unionByName(parts[1]).groupBy("split").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.aggregate("ids", F.lit(0), lambda a, x: a + x)).cast("long").alias("total"))
+
+
+def block_perplexity(spark, sf_dir):
+    return metrics.block_perplexity(spark.createDataFrame(BLOCK_LOSSES, "part string, block_id long, loss double"), "part").withColumn("perplexity", F.round("perplexity", 6))
+
+
+def held_out_loss(spark, sf_dir):
+    return metrics.held_out_loss(spark.createDataFrame(BLOCK_LOSSES, "part string, block_id long, loss double"), 10, 4, "part").withColumn("loss", F.round("loss", 6))
+
+
+def window_losses(spark, sf_dir):
+    found = metrics.window_losses(spark.createDataFrame(WINDOWS, "model string, doc_id long, start int, tokens long, loss double"), (0, 600), 64, "model")
+    return found.select("model", F.col("start").cast("long").alias("start"), F.round("loss", 6).alias("loss"), "texts")
+
+
+def stop_rate(spark, sf_dir):
+    return metrics.stop_rate(spark.createDataFrame(ENDINGS, "model string, last_id int, end_id int, prompt_tokens int, tokens int, most_new int"), "model")
+
+
+def end_id_check(spark, sf_dir):
+    return spark.createDataFrame(VOCABULARIES, "model string, end_id int, vocabulary int").select("model", metrics.can_end(F.col("end_id"), F.col("vocabulary")).alias("can_end"))
+
+
+def training_throughput(spark, sf_dir):
+    rows = spark.createDataFrame(CHECKS, "run string, step long, first_step long, total_steps long, tokens_per_step long, seconds double")
+    return metrics.throughput(rows).withColumn("hours_left", F.round("hours_left", 6))
+
+
+def training_arithmetic(spark, sf_dir):
+    return metrics.training_arithmetic(spark.createDataFrame(RUNS, "run string, blocks long, block long, batch long, accumulation long, epochs double, parameters long"))
+
+
+def model_comparison(spark, sf_dir):
+    bits = metrics.bits_per_character(spark.createDataFrame(SCORED_TEXTS, "model string, loss double, tokens long, characters long"), "model")
+    long = bits.unpivot("model", ["bits_per_character", "perplexity_per_token", "tokens_per_character"], "measure", "value").withColumn("value", F.round("value", 6))
+    return metrics.compared(long, ["new", "old"])
+
+
+def fertility_delta(spark, sf_dir):
+    counts = spark.createDataFrame(TOKEN_COUNTS, "tokenizer string, tokens long, words long").groupBy("tokenizer").agg((F.sum("tokens") / F.greatest(F.sum("words"), F.lit(1))).alias("fertility"))
+    mine, theirs = F.max(F.when(F.col("tokenizer") == "mine", F.col("fertility"))), F.max(F.when(F.col("tokenizer") == "theirs", F.col("fertility")))
+    return counts.agg(F.round(mine, 6).alias("mine"), F.round(theirs, 6).alias("theirs"), F.round(metrics.fertility_delta(mine, theirs), 6).alias("delta"))
+
+
 NAMES = (
     "clean_lengths clean_small_lengths word_stats whitespace_word_stats text_features quality_reasons quality_reasons_by_source language_rates language_gate mt_disclosure doc_dedup segment_counts segment_dedup"
     " segment_reuse_by_source corpus_build corpus_manifest corpus_source_counts shard_assignment shingle_counts near_dup_pairs near_dedup_kept prepare_summary hash_split_counts count_split held_out_documents"
     " exclude_sources survey_totals survey_table pack_blocks pack_remainder sft_pairs sft_reject_reasons sft_reject_reasons_loose sft_dedup sft_report sft_per_task prompt_grid prompt_texts parse_json_pairs"
-    " position_profile lr_schedule position_bands bits_per_character prefix_match training_stop blake2b_split sentence_glue bpe_fertility pretoken_counts streaming_dedup"
+    " position_profile lr_schedule position_bands bits_per_character prefix_match training_stop blake2b_split sentence_glue bpe_fertility pretoken_counts streaming_dedup clean_composed"
+    " source_head source_registry source_configs survey_document nearest_configs published_summary pack_manifest pack_source_counts block_subset scoring_blocks tokenizer_split sft_samples sft_output token_output"
+    " block_perplexity held_out_loss window_losses stop_rate end_id_check training_throughput training_arithmetic model_comparison fertility_delta"
 ).split()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millrace.functions.profiles import CORPUS_OTHER, CORPUS_TARGET, CORPUS_WORDS, PAIR_OTHER, PAIR_TARGET, REPORT_OTHER, REPORT_TARGET, TRANSLATED
 from millrace.operators.prompts import ANGLES, DOMAINS, TASKS, TEMPLATE
-from millrace.plans.inline import HISTORY, MADE, REPLIES, SCORED, SCORED_TEXTS, SOURCES
+from millrace.plans.inline import BLOCK_LOSSES, CHECKS, CONFIGS, ENDINGS, HISTORY, MADE, PAGES, REPLIES, RUNS, SCORED, SCORED_TEXTS, SOURCES, TOKEN_COUNTS, VOCABULARIES, WINDOWS
 
 
 def text(s: str) -> str:
@@ -98,6 +98,10 @@ TOKENS = """i AS (SELECT doc_id, CASE WHEN substr(md5(text), 1, 8) < '0ccccccc'
   list_append(list_transform(list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+'), lambda x: x <> ''), lambda x: length(x)), 0) AS ids FROM documents)"""
 
 
+#: Pre-tokens without lookahead: chr(1) has been put before the last white space of each run that something follows.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|(?:\x01 )?\p{L}+|(?:\x01 )?\p{N}+|(?:\x01 )?[^\s\p{L}\p{N}\x01]+|\x01\s|\s+"
+
+
 def sql() -> dict[str, str]:
     json_pairs = ", ".join(f"({i}, {text(r[r.find('[') : r.rfind(']') + 1])})" for i, r in REPLIES if 0 <= r.find("[") < r.rfind("]"))
     return {
@@ -145,7 +149,7 @@ def sql() -> dict[str, str]:
         "sft_report": f"""WITH {PAIRS}, v AS (SELECT *, regexp_extract_all(strip_accents(lower(instruction || ' ' || response)), '[a-z'']+') AS x FROM pr)
           SELECT count(*) AS pairs, round(avg({_share('x', REPORT_TARGET)}), 4) AS kreyol_word_rate, round(avg({_share('x', REPORT_OTHER)}), 4) AS french_word_rate, count(*) FILTER (WHERE regexp_matches(response, '[^\\x00-\\x7F]')) AS with_accents,
           count(DISTINCT instruction) AS unique_instructions, (list_sort(list(length(response))))[count(*) // 2 + 1]::BIGINT AS median_response_chars FROM v""",
-        "sft_per_task": f"WITH {PAIRS} SELECT substr(instruction, 1, 1) AS task, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(conv_id)) AS place FROM pr GROUP BY 1",
+        "sft_per_task": f"WITH {PAIRS} SELECT substr(instruction, 1, 1) AS task, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min((conv_id, turn))) AS place FROM pr GROUP BY 1",
         "prompt_grid": f"WITH {GRID} SELECT * FROM g",
         "prompt_texts": f"WITH {GRID} SELECT job, md5(replace(replace(replace(replace({text(TEMPLATE)}, '{{domain}}', domain), '{{task}}', task), '{{angle}}', angle), '{{count}}', '10')) AS digest FROM g",
         "parse_json_pairs": f"""WITH r AS (SELECT * FROM (VALUES {json_pairs}) AS v(id, j) WHERE json_valid(j)), e AS (SELECT id, i - 1 AS pos, json_extract(j, '$[' || (i - 1) || ']') AS x FROM (SELECT id, j, unnest(range(1, json_array_length(j)::BIGINT + 1)) AS i FROM r))
@@ -164,4 +168,51 @@ def sql() -> dict[str, str]:
           SELECT r.run, h.step, CASE WHEN stopped IS NULL AND loss < best - 1e-4 THEN loss ELSE best END, CASE WHEN stopped IS NOT NULL THEN waited WHEN loss < best - 1e-4 THEN 0 ELSE waited + 1 END,
           CASE WHEN stopped IS NOT NULL THEN stopped WHEN NOT loss < best - 1e-4 AND waited + 1 >= 3 THEN h.step END FROM r JOIN h ON h.run = r.run AND h.step = r.step + 1)
           SELECT run, best, waited, stopped::BIGINT AS stopped FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) = 1""",
+        "clean_composed": f"""SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_clean("nfc_normalize(replace(replace(text, chr(233), 'e' || chr(769)), chr(252), 'u' || chr(776)))")} AS t FROM documents)""",
+        "source_head": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5",
+        "source_registry": """SELECT priority::INT AS priority, source, sentences, (SELECT count(*) FROM documents d WHERE d.source = r.source) AS n
+          FROM (VALUES (0, 'src7', FALSE), (1, 'src3', FALSE), (2, 'src5', TRUE)) AS r(priority, source, sentences)""",
+        "source_configs": "SELECT DISTINCT source, lang FROM documents ORDER BY ALL",
+        "survey_document": f"""WITH s AS (SELECT source, bytes, floor(bytes / 3.6)::BIGINT AS tokens, note, contains(note, 'EVALUATION') AS evaluation FROM (SELECT source, coalesce(nullif(m, 0), f)::BIGINT AS bytes, note FROM {values(SOURCES)} AS v(source, m, f, note)) WHERE bytes > 0)
+          SELECT to_json({{bytes_per_token: 3.6::DOUBLE, usable_tokens: sum(tokens) FILTER (WHERE NOT evaluation)::BIGINT, sources: list({{source: source, bytes: bytes, tokens: tokens, note: note, evaluation: evaluation}} ORDER BY source)}})::VARCHAR AS document FROM s""",
+        "nearest_configs": f"""SELECT dataset, array_to_string(list_filter(list_sort(list(DISTINCT config)), lambda x: contains(lower(x), 'ht') OR contains(lower(x), 'hat') OR contains(lower(x), 'cre'))[1:4], ',') AS near FROM {values(CONFIGS)} AS v(dataset, config) GROUP BY 1""",
+        "published_summary": f"""WITH p AS (SELECT (max(text) FILTER (WHERE name = 'training_summary'))::JSON AS t, (max(text) FILTER (WHERE name = 'comparison'))::JSON AS c FROM {values(PAGES)} AS v(name, text)),
+          b AS (SELECT t, (c->>'$.new.bits_per_character')::DOUBLE AS new_bits, (c->>'$.old.bits_per_character')::DOUBLE AS old_bits FROM p)
+          SELECT (t->>'$.parameters')::BIGINT AS parameters, (t->>'$.unique_train_tokens')::BIGINT AS unique_train_tokens, (t->>'$.epochs')::DOUBLE AS epochs, (t->>'$.best_eval_perplexity')::DOUBLE AS best_eval_perplexity, new_bits, old_bits, old_bits / new_bits AS ratio FROM b""",
+        "pack_manifest": f"""WITH {TOKENS} SELECT split, count(*) AS documents, sum(len(ids))::BIGINT AS tokens, (sum(len(ids)) // 256)::BIGINT AS blocks, (sum(len(ids)) // 256 * 256)::BIGINT AS tokens_kept, (sum(len(ids)) % 256)::BIGINT AS tokens_dropped FROM i GROUP BY 1""",
+        "pack_source_counts": "SELECT source, count(*) AS documents, count(*) FILTER (WHERE substr(md5(text), 1, 8) < '0ccccccc') AS held_out FROM documents GROUP BY 1",
+        "block_subset": f"""WITH {TOKENS}, o AS (SELECT split, ids, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM i),
+          x AS (SELECT split, unnest(ids) AS id, o + generate_subscripts(ids, 1) - 1 AS k FROM o)
+          SELECT split, (k // 256)::BIGINT AS block_id, sum(id)::BIGINT AS total FROM x WHERE (k // 256) % 7 = 3 GROUP BY 1, 2 HAVING count(*) = 256""",
+        "scoring_blocks": """WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(substr(text, 1, 400000), '[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+'), lambda x: x <> ''), lambda x: length(x)) AS ids FROM documents),
+          x AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS k FROM w)
+          SELECT doc_id, (k // 64)::BIGINT AS block_id, sum(id)::BIGINT AS total FROM x WHERE k < 64 * 40 GROUP BY 1, 2 HAVING count(*) = 64""",
+        "tokenizer_split": "SELECT doc_id, CASE WHEN n <= 100 THEN 'measured' WHEN n <= 600 THEN 'fitted' ELSE 'neither' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)",
+        "sft_samples": f"WITH {PAIRS} SELECT conv_id, turn, substr(instruction, 1, 170) AS instruction, substr(response, 1, 280) AS response FROM pr ORDER BY conv_id, turn LIMIT 5",
+        "sft_output": f"WITH {PAIRS} SELECT md5(instruction) AS instruction, md5(response) AS response FROM (SELECT * FROM pr ORDER BY conv_id, turn LIMIT 50)",
+        "token_output": f"""WITH {TOKENS}, o AS (SELECT split, ids, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM i),
+          x AS (SELECT split, unnest(ids) AS id, o + generate_subscripts(ids, 1) - 1 AS k FROM o), b AS (SELECT split, sum(id) AS total FROM x GROUP BY split, k // 256 HAVING count(*) = 256)
+          SELECT split, count(*) AS blocks, sum(total)::BIGINT AS total FROM b GROUP BY 1""",
+        "block_perplexity": f"SELECT part, round(exp(least(avg(loss), 20)), 6) AS perplexity FROM {values(BLOCK_LOSSES)} AS v(part, block_id, loss) GROUP BY 1",
+        "held_out_loss": f"WITH b AS (SELECT part, block_id // 4 AS batch, avg(loss) AS loss, count(*) AS n FROM {values(BLOCK_LOSSES)} AS v(part, block_id, loss) GROUP BY 1, 2) SELECT part, round(sum(loss * n) / sum(n), 6) AS loss, sum(n)::BIGINT AS blocks FROM b WHERE batch * 4 < 10 GROUP BY 1",
+        "window_losses": f"""WITH w AS (SELECT * FROM {values(WINDOWS)} AS v(model, doc_id, start, tokens, loss)), g AS (SELECT DISTINCT model, s AS start FROM w, (VALUES (0), (600)) AS t(s))
+          SELECT g.model, g.start::BIGINT AS start, coalesce(round(avg(w.loss), 6), 'nan'::DOUBLE) AS loss, count(w.loss) AS texts FROM g LEFT JOIN w ON w.model = g.model AND w.start = g.start AND w.tokens >= w.start + 64 GROUP BY 1, 2""",
+        "stop_rate": f"SELECT model, count(*) FILTER (WHERE last_id = end_id OR tokens < prompt_tokens + most_new) AS stopped, count(*) AS prompts FROM {values(ENDINGS)} AS v(model, last_id, end_id, prompt_tokens, tokens, most_new) GROUP BY 1",
+        "end_id_check": f"SELECT model, coalesce(end_id, 0) < vocabulary AS can_end FROM {values(VOCABULARIES)} AS v(model, end_id, vocabulary)",
+        "training_throughput": f"""WITH c AS (SELECT *, (step + 1 - first_step) * per_step AS seen FROM {values(CHECKS)} AS v(run, step, first_step, total_steps, per_step, seconds))
+          SELECT (step + 1)::BIGINT AS step, seen::BIGINT AS tokens_seen, round_even(seen / seconds, 0)::BIGINT AS tokens_per_second, round((total_steps - step - 1) * per_step / greatest(seen / seconds, 1) / 3600, 6) AS hours_left FROM c""",
+        "training_arithmetic": f"""WITH r AS (SELECT *, greatest(1, blocks // (batch * accumulation)) AS steps FROM {values(RUNS)} AS v(run, blocks, block, batch, accumulation, epochs, parameters))
+          SELECT run, (batch * accumulation * block)::BIGINT AS tokens_per_step, steps::BIGINT AS steps_per_epoch, floor(epochs * steps)::BIGINT AS total_steps, (20 * parameters::BIGINT) AS tokens_wanted, blocks::BIGINT * block * epochs < 20 * parameters::BIGINT AS short FROM r""",
+        "model_comparison": f"""WITH m AS (SELECT model, sum(loss * (n - 1)) / ln(2) / sum(c) AS bits_per_character, exp(least(sum(loss * (n - 1)) / sum(n - 1), 20)) AS perplexity_per_token, sum(n - 1) / sum(c) AS tokens_per_character FROM {values(SCORED_TEXTS)} AS v(model, loss, n, c) WHERE n >= 32 GROUP BY 1),
+          l AS (SELECT model, unnest(['bits_per_character', 'perplexity_per_token', 'tokens_per_character']) AS measure, unnest([bits_per_character, perplexity_per_token, tokens_per_character]) AS value FROM m)
+          SELECT measure, round(max(value) FILTER (WHERE model = 'new'), 6) AS new, round(max(value) FILTER (WHERE model = 'old'), 6) AS old FROM l GROUP BY 1""",
+        "fertility_delta": f"""WITH f AS (SELECT tokenizer, sum(tokens) / greatest(sum(words), 1) AS f FROM {values(TOKEN_COUNTS)} AS v(tokenizer, tokens, words) GROUP BY 1), b AS (SELECT max(f) FILTER (WHERE tokenizer = 'mine') AS mine, max(f) FILTER (WHERE tokenizer = 'theirs') AS theirs FROM f)
+          SELECT round(mine, 6) AS mine, round(theirs, 6) AS theirs, round(100 * (mine / theirs - 1), 6) AS delta FROM b""",
+        "sentence_glue": f"""WITH RECURSIVE t AS (SELECT source, doc_id, trim(text, {WS}) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE text <> ''),
+          g(source, i, doc_ord, size, doc_id, t) AS (SELECT source, i, 0::BIGINT, length(t), doc_id, t FROM t WHERE i = 1 UNION ALL
+            SELECT t.source, t.i, CASE WHEN g.size >= 2000 THEN g.doc_ord + 1 ELSE g.doc_ord END, CASE WHEN g.size >= 2000 THEN 0 ELSE g.size END + length(t.t), t.doc_id, t.t FROM g JOIN t ON t.source = g.source AND t.i = g.i + 1)
+          SELECT source, doc_ord, length(x) AS n, md5(x) AS digest FROM (SELECT source, doc_ord, string_agg(t, {NL} ORDER BY doc_id) AS x FROM g GROUP BY 1, 2)""",
+        "pretoken_counts": f"""WITH m AS (SELECT regexp_replace(text, '(\\s)(\\S)', chr(1) || '\\1\\2', 'g') AS t FROM documents), e AS (SELECT replace(unnest(regexp_extract_all(t, {text(PRETOKENS)})), chr(1), '') AS token FROM m),
+          c AS (SELECT token, count(*) AS n FROM e GROUP BY 1) SELECT length(token)::INT AS chars, count(*) AS distinct_tokens, sum(n)::BIGINT AS tokens FROM c GROUP BY 1""",
+        "streaming_dedup": f"WITH {BASE} SELECT DISTINCT md5(t) AS digest FROM q WHERE reason IS NULL",
     }

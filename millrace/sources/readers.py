@@ -18,12 +18,32 @@ def raw_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("text", first_filled(*present)).where("text <> ''")
 
 
+def registered(spark: SparkSession, sources: list[tuple[str, str, bool]], order: list[str] | None = None) -> DataFrame:
+    """The registry of sources as rows (priority, source, path, sentences), in the given order of priority; names that are not registered are dropped."""
+    known = {name: (name, path, sentences) for name, path, sentences in sources}
+    rows = [(k, *known[name]) for k, name in enumerate(n for n in order or known if n in known)]
+    return spark.createDataFrame(rows, "priority int, source string, path string, sentences boolean")
+
+
 def head(df: DataFrame, n: int, *order: str, by: str | None = None) -> DataFrame:
-    """The first n rows of each source, before anything is dropped; n = 0 is all."""
+    """The first n rows, of each source if there is a column for it, before anything is dropped; n = 0 is all."""
     if not n:
         return df
-    window = (W.partitionBy(by) if by else W.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n).drop("_n")  # planned with a limit for each group before the shuffle
+    if by is None:
+        return df.orderBy(*order).limit(n)
+    return df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")  # planned with a limit for each group before the shuffle
+
+
+def published(pages: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    """Measures from the two summaries that a model page publishes, whichever are there: malformed or missing ones leave nulls.
+
+    `pages` holds the files by name: the training summary, and the comparison with an earlier model. The ratio is that of old to new bits per character.
+    """
+    training = F.from_json(F.col(text), "parameters long, unique_train_tokens long, epochs double, best_eval_perplexity double")
+    both = F.from_json(F.col(text), "new struct<bits_per_character:double>, old struct<bits_per_character:double>")
+    row = pages.agg(F.max(F.when(F.col(name) == "training_summary", training)).alias("t"), F.max(F.when(F.col(name) == "comparison", both)).alias("c"))
+    new, old = F.col("c.new.bits_per_character"), F.col("c.old.bits_per_character")
+    return row.select("t.parameters", "t.unique_train_tokens", "t.epochs", "t.best_eval_perplexity", new.alias("new_bits"), old.alias("old_bits"), F.try_divide(old, new).alias("ratio"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = "text string, source string") -> DataFrame:
@@ -35,7 +55,7 @@ def json_lines(spark: SparkSession, path: str, schema: str = "text string, sourc
 
 def shards(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Filled rows of `shard-*.jsonl.gz` whose source is not excluded."""
-    rows = json_lines(spark, f"{folder}/shard-*.jsonl.gz").where("text <> ''")
+    rows = json_lines(spark, f"{folder}/shard-*.jsonl.gz").where("text <> ''")  # `file` gives the order of the shards
     return rows.where(~F.coalesce("source", F.lit("")).isin(*exclude)) if exclude else rows
 
 
@@ -56,8 +76,10 @@ def mixed_files(spark: SparkSession, text_globs: list[str] = (), json_lists: lis
         whole = F.when(F.col("value").cast("string").startswith("{"), F.coalesce(F.try_variant_get("value", f"$.{field}", "string"), F.lit(""))).otherwise(F.col("value").cast("string"))
         parts.append(each.select(F.concat("file", F.lit("#"), F.col("i").cast("string")).alias("name"), whole.alias("text")))
     for path in json_lines_globs:
-        rows = spark.read.schema(f"`{field}` string").json(path).select(base.alias("file"), F.coalesce(F.col(field), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("i"))
-        parts.append(rows.select(F.concat("file", F.lit("#"), F.col("i").cast("string")).alias("name"), "text"))
+        # A file is one row here, so that lines keep their numbers; these are small sources, and large ones go through json_lines().
+        lines = spark.read.text(path, wholetext=True).select(base.alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n")).alias("i", "line"))
+        parsed = lines.withColumn("j", F.from_json("line", f"`{field}` string")).where("trim(line) <> ''")
+        parts.append(parsed.select(F.concat("file", F.lit("#"), F.col("i").cast("string")).alias("name"), F.coalesce(F.col("j")[field], F.lit("")).alias("text")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

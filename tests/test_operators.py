@@ -134,3 +134,92 @@ def test_round_trip_files(spark, tmp_path):
 def test_gate_order(spark):
     got = spark.range(1).select(gates.first_reason((F.lit(False), "a"), (F.lit(True), "b"), (F.lit(True), "c")).alias("x")).first()[0]
     assert got == "b"
+
+
+def test_flat_token_files(spark, tmp_path):
+    rows = [(split, k, [k, 65_535 - k, n]) for n, split in enumerate(("train", "val")) for k in range(20)]
+    told = writers.token_files(spark.createDataFrame(rows, "split string, block_id long, ids array<int>").repartition(5), str(tmp_path / "flat"), 3)
+    assert sum(r["blocks"] for r in told.collect()) == 40
+    for n, split in enumerate(("train", "val")):
+        files = sorted((tmp_path / "flat" / split).glob("[0-9]*.bin"))
+        whole = b"".join(f.read_bytes() for f in files)
+        assert whole == b"".join(x.to_bytes(2, "little") for k in range(20) for x in (k, 65_535 - k, n))
+        assert sorted(r["ids"] for r in readers.token_blocks(spark, f"{tmp_path}/flat/{split}/*.bin", 3).collect()) == sorted(r[2] for r in rows if r[0] == split)
+
+
+def test_manifest_needs_a_block(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("train", 300), ("val", 100)], "split string, n_tokens long")
+    assert {r["split"]: r["blocks"] for r in packing.manifest(rows, 100).collect()} == {"train": 3, "val": 1}
+    with pytest.raises(Exception, match="less than one block"):
+        packing.manifest(rows, 200).collect()
+
+
+def test_mixed_files_number_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one text\nof two lines")
+    (tmp_path / "b.json").write_text('[{"text": "x"}, "plain", {"other": 1}]')
+    (tmp_path / "c.jsonl").write_text('{"text": "first"}\n{"text": "second"}\n')
+    got = {r["name"]: r["text"] for r in readers.mixed_files(spark, [str(tmp_path / "*.txt")], [str(tmp_path / "*.json")], [str(tmp_path / "*.jsonl")]).collect()}
+    assert got == {"a.txt": "one text\nof two lines", "b.json#0": "x", "b.json#1": "plain", "b.json#2": "", "c.jsonl#0": "first", "c.jsonl#1": "second"}
+
+
+def test_shards_and_strict_pairs(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i % 3}") for i in range(9)] + [(9, "", "s0")], "n long, text string, source string")
+    writers.shards(docs, str(tmp_path / "out"), 4, "n", parts=1)
+    for k, f in enumerate(sorted((tmp_path / "out").glob("*.json.gz"))):
+        f.rename(tmp_path / "out" / f"shard-{k:04d}.jsonl.gz")
+    assert sorted(r["text"] for r in readers.shards(spark, str(tmp_path / "out"), ("s1",)).collect()) == [f"text {i}" for i in range(9) if i % 3 != 1]
+    made = spark.createDataFrame([(i, f"kesyon {i}", "répons") for i in range(5)], "n long, instruction string, response string")
+    writers.pairs(made, str(tmp_path / "sft"), 3, "n")
+    lines = [json.loads(x) for f in (tmp_path / "sft").glob("*.json") for x in f.read_text("utf-8").splitlines()]
+    assert [x["instruction"] for x in lines] == ["kesyon 0", "kesyon 1", "kesyon 2"] and "répons" in next((tmp_path / "sft").glob("*.json")).read_text("utf-8")
+    writers.one_json(made.agg(F.count("n").alias("pairs")), str(tmp_path / "one"))
+    assert [json.loads(f.read_text()) for f in (tmp_path / "one").glob("*.json")] == [{"pairs": 5}]
+    import pytest
+
+    (tmp_path / "bad.jsonl").write_text('{"enstriksyon": "a", "repons": "b"}\nnot json\n')
+    with pytest.raises(Exception):
+        readers.strict_pairs(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_head_and_published(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 2}") for i in range(10)], "n long, source string")
+    assert sorted(r["n"] for r in readers.head(rows, 3, "n").collect()) == [0, 1, 2] and readers.head(rows, 0, "n").count() == 10
+    assert sorted(r["n"] for r in readers.head(rows, 2, "n", by="source").collect()) == [0, 1, 2, 3]
+    lost = readers.published(spark.createDataFrame([("comparison", "not json")], "name string, text string")).first()
+    assert lost["ratio"] is None and lost["parameters"] is None
+
+
+def test_composition(spark):
+    import unicodedata
+
+    from millrace.functions import udfs
+
+    odd = ["e\u0301", "\u1100\u1161\u11a8", "a\u0323\u0302", "\u212b", "\u0958", "\u09c7\u09be", "plain", "", "\U0001d15e", "q\u0307\u0323", "\u0344"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in odd], "t string").coalesce(1).select(udfs.composed(F.col("t"))).collect()]
+    assert got == [unicodedata.normalize("NFC", t) for t in odd]
+    pattern = __import__("regex").compile(udfs._may_change())
+    assert all(pattern.search(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c))
+
+
+def test_hashes_and_bpe_against_libraries(spark):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.functions import udfs
+    from millrace.operators import tokenizer
+
+    texts = [(i, t) for i, t in enumerate(["", "Ayiti se yon peyi", "kòm\n\n  de"])]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r[0]: r[1] for r in frame.select("doc_id", udfs.blake2b_32("text")).collect()} == {i: int(hashlib.blake2b(t.encode(), digest_size=4).hexdigest(), 16) for i, t in texts}
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r["doc_id"]: r["ids"] for r in tokenizer.encoded(frame, public_tokenizers.path("byte_bpe_50k.json")).collect()} == {i: [*lib.encode(t, add_special_tokens=False).ids, 0] for i, t in texts}
+
+
+def test_glue_repeated_rows(spark):
+    rows = [("s", 1, "x" * 1500), ("s", 1, "x" * 1500), ("s", 1, "y"), ("s", 2, "z" * 10)]
+    got = sorted((r["doc_ord"], r["text"]) for r in glue.glued(spark.createDataFrame(rows, "source string, doc_id long, text string")).collect())
+    assert sorted("\n".join(t for _, t in got).split("\n")) == sorted(r[2] for r in rows)

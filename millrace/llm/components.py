@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import settle
+from millrace.llm.shared import free, settle
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of links (a, b); the component is its smallest node.
+    """(node, component) for every node of links (a, b), written; the component is its smallest node.
 
     Each step sends every node's neighbours to its smallest neighbour; partial aggregation absorbs nodes with very many links. The links are
     written to the shared folder after each pair of steps, so the lineage stays short, and the loop ends when a pair changes nothing. Components
@@ -23,9 +23,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        now = settle(small, "links")
+        before, now = now, settle(small, "links")
+        free(before)
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == state:
             break
         state = (row[0], row[1])
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
+    joined = settle(out, "joined")
+    free(now)
+    return joined

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import settle
+from millrace.llm.shared import bounded, free, settle
 from millrace.llm.vec import LOWER, mix, shingle_hashes, slabs, word_hashes, word_spans
 
 HASHES, BATCH = 125, 25
+#: Values in a signature that is for families() only.
+SKETCH = 50
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -51,11 +53,11 @@ def document_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarr
     return [np.unique(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The smallest of HASHES hash values over a set."""
-    best = np.full(HASHES, 2**32 - 1, np.uint32)
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The smallest of `hashes` hash values over a set."""
+    best = np.full(hashes, 2**32 - 1, np.uint32)
     for at in range(0, len(shingles), 4096):
-        values = (shingles[None, at : at + 4096] * FACTORS[:, None] + TERMS[:, None]) >> np.uint64(32)
+        values = (shingles[None, at : at + 4096] * FACTORS[:hashes, None] + TERMS[:hashes, None]) >> np.uint64(32)
         np.minimum(best, values.min(axis=1).astype(np.uint32), out=best)
     return best
 
@@ -80,10 +82,10 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 @cache
-def fewest_equal(threshold: float, miss: float) -> tuple[int, ...]:
+def fewest_equal(threshold: float, miss: float, hashes: int = HASHES) -> tuple[int, ...]:
     """For 25, 50, ... signature values: the fewest equal ones at which the pair is not dropped."""
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, hashes + 1, BATCH):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -92,10 +94,20 @@ def fewest_equal(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
+def surely_linked(threshold: float, miss: float) -> int:
+    """The fewest equal values among SKETCH at which the similarity is below the threshold with probability `miss` at most."""
+    total = 0.0
+    for m in range(SKETCH, -1, -1):
+        total += math.comb(SKETCH + 1, m + 1) * threshold ** (m + 1) * (1 - threshold) ** (SKETCH - m)
+        if total > miss:
+            return m + 1
+    return 0
+
+
 def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
     """Of pairs of signatures in equal rows, the numbers of those that no batch drops."""
     left, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for k, least in enumerate(fewest_equal(threshold, miss)):
+    for k, least in enumerate(fewest_equal(threshold, miss, a.shape[1])):
         part = slice(BATCH * k, BATCH * (k + 1))
         equal = equal + (a[left, part] == b[left, part]).sum(axis=1)
         stay = equal >= least
@@ -104,7 +116,7 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np
 
 
 def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key, n_shingles, set_id (null for an empty set) and sig."""
+    """doc, n_shingles, set_id (null for an empty set) and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slabs(batches, text):
@@ -136,26 +148,28 @@ def buckets(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """doc and its sorted shingle hashes as bytes."""
+    """doc, the bytes of its sorted shingle hashes, and their number of bytes in a column of its own, which can be read alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slabs(batches, text):
-            yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array([s.tobytes() for s in document_sets(data, off, size)], pa.binary())], ["doc", "shingles"])
+            sets = [s.tobytes() for s in document_sets(data, off, size)]
+            yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["doc", "n_bytes", "shingles"])
 
-    return docs.select(key, text).mapInArrow(run, "doc long, shingles binary")
+    return docs.select(key, text).mapInArrow(run, "doc long, n_bytes long, shingles binary")
 
 
 def _bayes(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Of pairs (a, b), those that the Bayesian test leaves."""
+    """Of pairs (a, b), those that the Bayesian test leaves, and how many values of their signatures are equal."""
     with_both = pairs.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).take(pa.array(survivors(sa, sb, threshold, miss)))
+                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                left = survivors(sa, sb, threshold, miss)
+                yield pa.RecordBatch.from_arrays([*batch.select(["a", "b"]).take(pa.array(left)).columns, pa.array((sa[left] == sb[left]).sum(axis=1).astype(np.int32))], ["a", "b", "equal"])
 
-    return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, equal int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,41 +241,92 @@ def _joins(rows: pa.Table, threshold: float, miss: float, percent: int, values:
     return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
+def crowded(firsts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """doc, band, bucket and n, the number of classes in the bucket, where there are more than one."""
+    members = buckets(firsts, bands, rows)
+    return members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class with the centre of each of its buckets."""
+    company = members.groupBy("doc").agg(F.sum("n").alias("company"))
+    centres = members.join(company, "doc").groupBy("bucket").agg(F.max(F.struct("company", -F.col("doc"))).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"))
+    return members.join(centres, "bucket").where("doc <> centre").select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
+
+
+def _firsts(base: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, more, first: the smallest key with the same set, or its own where the set is empty) of all rows, and (doc, sig) of the firsts; both written."""
+    groups = settle(base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc").alias("first")), "groups")
+    firsts = settle(base.select("doc", "sig").join(groups.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "firsts")
+    whole = settle(base.select("doc", *more, "set_id").join(groups, "set_id", "left").select("doc", *more, F.coalesce("first", "doc").alias("first")), "whole")
+    free(groups)
+    return whole, firsts
+
+
+def _rows_of(docs: DataFrame, keys: DataFrame, key: str, whole: DataFrame) -> DataFrame:
+    """The rows with the given keys, one for each; texts are sorted for that only if keys repeat at all."""
+    rows = docs.join(bounded(keys), key, "left_semi")
+    repeated = whole.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return rows.dropDuplicates([key]) if repeated else rows
+
+
+def families(docs: DataFrame, base: DataFrame, key: str, text: str, size: int = 5, percent: int = 80, bands: int = 12, miss: float = 0.02) -> DataFrame:
+    """doc and family, its component of near copies, of the rows in `base`: (doc, set_id, sig) with SKETCH values in a signature.
+
+    For uses that count groups of copies instead of removing any. Classes are compared with the centre of each bucket; a pair whose posterior leaves
+    less than `miss` on either side is decided by that, and the others on their full sets. A pair at the threshold shares no band with probability
+    0.002, which leaves no large group apart.
+    """
+    whole, firsts = _firsts(base)
+    members = settle(crowded(firsts, bands, SKETCH // bands), "members")
+    judged = settle(_bayes(stars(members), firsts, percent / 100, miss), "stars")
+    free(members, firsts)
+    unsure = judged.where(f"equal < {surely_linked(percent / 100, miss)}").select("a", "b")
+    asked = settle(unsure.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "asked")
+    sets = settle(full_sets(_rows_of(docs, asked, key, whole), key, text, size), "full")
+    links = settle(judged.where(f"equal >= {surely_linked(percent / 100, miss)}").select("a", "b").union(verified(unsure, sets, percent)), "families")
+    free(judged, asked, sets)
+    joined = components(links)
+    free(links)
+    found = whole.join(joined.withColumnRenamed("node", "first"), "first", "left")
+    out = settle(found.groupBy("doc").agg(F.min(F.coalesce("component", "first")).alias("family")), "families")
+    free(whole, joined)
+    return out
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, miss: float = 1e-7) -> DataFrame:
     """key, n_shingles, component_id and kept for every row with a key."""
     threshold = percent / 100
     bands, rows = shape(percent)
     base = settle(describe(docs, key, text, size), "sets")
-    groups = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc").alias("first"))
-    groups = settle(groups, "groups")
-    firsts = settle(base.select("doc", "sig").join(groups.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select("doc", "sig").dropDuplicates(["doc"]), "firsts")
-
-    # Buckets with more than one class, and the centre of each.
-    members = buckets(firsts, bands, rows)
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settle(members.join(counts, "bucket"), "members")
-    company = members.groupBy("doc").agg(F.sum("n").alias("company"))
-    weighed = members.join(company, "doc")
-    centres = weighed.groupBy("bucket").agg(F.max(F.struct("company", -F.col("doc"))).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"))
-    stars = members.join(centres, "bucket").where("doc <> centre").select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
+    whole, firsts = _firsts(base, "n_shingles")
+    free(base)
+    members = settle(crowded(firsts, bands, rows), "members")
     shared = members.select("doc").distinct()
-    sigs = firsts.join(shared, "doc", "left_semi").select("doc", "sig")
-    sets = settle(full_sets(docs.where(F.col(key).isNotNull()).join(shared.withColumnRenamed("doc", key), key, "left_semi").dropDuplicates([key]), key, text, size), "full")
-    links = settle(verified(_bayes(stars, sigs, threshold, miss), sets, percent), "stars")
-    joined = settle(components(links), "joined")
-
-    # What the stars left apart: buckets that still hold several components.
-    placed = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    placed = placed.join(sets, "doc").join(sigs, "doc")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("shingles")).alias("_bytes")).where("low < high")
-    blocks = F.greatest(F.ceil(F.col("_n") / F.lit(BLOCK)), F.ceil(F.col("_bytes") / F.lit(BLOCK_BYTES))).cast("int")
-    rest = placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    sigs = settle(firsts.join(shared, "doc", "left_semi"), "sigs")
+    free(firsts)
+    likely = settle(_bayes(stars(members), sigs, threshold, miss), "likely")
+    sets = settle(full_sets(_rows_of(docs, sigs.select(F.col("doc").alias(key)), key, whole), key, text, size), "full")
+    links = settle(verified(likely, sets, percent), "stars")
+    free(likely)
+    joined = components(links)
+
+    # What the stars left apart: buckets that still hold several components. They are found by numbers alone; only their members' sets travel.
+    placed = members.select("doc", "band", "bucket").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    apart = settle(placed.join(mixed, "bucket", "left_semi").join(sets.select("doc", "n_bytes"), "doc"), "apart")
+    free(members)
+    sizes = apart.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    rest = apart.drop("n_bytes").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rest = rest.join(sigs, "doc").join(sets.select("doc", "shingles"), "doc")
     paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "band", "doc", "component", "sig", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     more = settle(paired.groupBy("bucket", "i", "j").applyInArrow(lambda t: _joins(t, threshold, miss, percent, rows), "a long, b long").distinct(), "more")
+    free(apart, sets, sigs)
     if more.limit(1).count():
-        joined = settle(components(links.union(more)), "joined")
+        free(joined)
+        joined = components(links.union(more))
+    free(links, more)
 
-    whole = base.join(groups, "set_id", "left").select("doc", "n_shingles", F.coalesce("first", "doc").alias("first"))
-    whole = whole.join(joined.withColumnRenamed("node", "first"), "first", "left")
-    found = F.coalesce("component", "first")
-    return whole.select(F.col("doc").alias(key), "n_shingles", found.alias("component_id"), (F.col("doc") == found).alias("kept"))
+    found = whole.join(joined.withColumnRenamed("node", "first"), "first", "left")
+    component = F.coalesce("component", "first")
+    return found.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), (F.col("doc") == component).alias("kept"))

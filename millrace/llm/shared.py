@@ -1,52 +1,50 @@
-"""Writing intermediate tables where every executor can read them."""
+"""What several operators of this folder use: intermediate tables, a bounded memo, sizes."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from millrace.sources.stage import drop, free, settle, shared_dir, standing
 
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["ROWS", "Memo", "bounded", "drop", "free", "input_bytes", "settle", "shared_dir", "standing", "unused"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (single-machine tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+#: A table of a number or two in each row is broadcast up to so many rows, some tens of megabytes.
+ROWS = 1 << 20
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(sweep)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has ROWS rows at most, else joined as Spark sees fit."""
+    return F.broadcast(table) if table.count() <= ROWS else table
 
 
-def sweep() -> None:
-    """Delete what settle() wrote; called when the driver ends."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended first; the folder is the cluster's to clean then
-            return
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it no column's."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+class Memo(dict):
+    """Results by string, for short strings only, emptied when it would hold more than `most` bytes; what is long is worked out each time."""
+
+    LONGEST, OVERHEAD = 64, 200
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, name: str, value, size: int) -> None:
+        if len(name) <= self.LONGEST:
+            self.held += size + 4 * len(name) + self.OVERHEAD
+            if self.held > self.most:
+                self.clear()
+                self.held = size + 4 * len(name) + self.OVERHEAD
+            self[name] = value
 
 
 def input_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows and bytes of one text column, by one small aggregate."""
-    from pyspark.sql import functions as F
-
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
     return int(row[0]), int(row[1])

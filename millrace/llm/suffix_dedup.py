@@ -3,20 +3,20 @@
 A byte is removed if a string of `least` bytes over it also starts in a document with a smaller key. One transform of a whole corpus is no task
 for one machine, so equal windows are first brought together:
 
-1. Documents are dealt into slabs of a few megabytes by a hash of their key. Every window of `least` bytes has an anchor, the smallest hash of the
+1. Documents are dealt into slabs of a few megabytes by a hash of their key and text. Every window of `least` bytes has an anchor, the smallest hash of the
    `gram`-byte strings in it; equal windows have equal anchors. A run of window starts with one anchor is a span, and its text is kept whole.
 2. Each slab sends its anchors, once each and as 32 bits beside their part, to the part that owns them; a part answers which of them other slabs
    have too. This leaves only text that may repeat; a chance match of hashes costs work and changes nothing.
-3. Each slab sends the distinct span texts of those anchors, with the smallest key that carries each, to the anchor's part. The part lays texts that
-   share an anchor out one after another, builds the suffix order and the transform, and expands intervals up to `least`: windows of one interval are equal. Each gets
+3. Each slab sends the distinct span texts of those anchors, with the smallest key that carries each, to one of FAN parts of the anchor's part. It lays texts
+   that share an anchor out one after another, builds the suffix order and the transform, and expands intervals up to `least`: windows of one interval are equal. Each gets
    the smallest key of all its carriers.
 4. Parts answer with ranges of windows and that key; slabs mark the bytes of their documents with larger keys, and cut.
 
-What crosses the network is a block for each slab and part, not a row for each occurrence; a passage that a third of all documents hold is sent
-once by each slab. Parts cut their work into sub-parts of about `batch` bytes, whole anchors together. All four steps read the same dealt documents.
+What crosses the network is a block for each slab and part that have anchors in common, so never more blocks than anchors, whatever the number of slabs; a
+passage that a third of all documents hold is sent once by each slab. Parts cut their work into sub-parts of about `batch` bytes, whole anchors together. All four steps read the same dealt documents.
 
 Defined cases: null texts count as empty; texts shorter than a window lose nothing; rows with the same key do not cover each other; rows with a null
-key count as larger than all and cover nothing; very long texts are slabs of their own; an empty table gives an empty result; columns other
+key count as larger than all and cover nothing; a very long text is worked on whole, with about 30 bytes of memory for each of its own; an empty table gives an empty result; columns other
 than key and text are not read.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,18 @@ from millrace.llm.shared import input_bytes
 from millrace.llm.vec import BASE, BYTE_VALUES, buffers, mix, powers
 
 NO_KEY = np.iinfo(np.int64).max
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+INVERSE = pow(int(BASE), -1, 2**64)
+#: Powers are tabled for so many places, and multiplied by one number for each stretch of that length.
+STRETCH = 1 << 18
+#: Parts of spans in a part of anchors: anchors are 4 bytes in 18 of text, spans are whole texts.
+FAN = 16
+
+
+@cache
+def _inverses() -> np.ndarray:
+    out = np.full(STRETCH, INVERSE, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 class Slab:
@@ -54,29 +66,29 @@ class Slab:
         if n < least:
             return
         at = self.off
-        valid = np.ones(n - least + 1, bool)  # windows that end in the document they start in
-        for end in at[1:].tolist():
-            valid[max(0, end - least + 1) : end] = False
-        new = np.ones(len(valid), bool)
-        anchors = self._anchors(gram)
-        new[1:] = anchors[1:] != anchors[:-1]
-        new[at[:-1][at[:-1] < len(new)]] = True
-        new &= valid
-        self.starts = np.flatnonzero(new)
+        self.starts, self.anchors = self._spans(gram)
         if len(self.starts):
             self.docs = np.searchsorted(at, self.starts, "right") - 1
             following = np.concatenate([self.starts[1:], [n]])
             self.sizes = np.minimum(following, at[self.docs + 1] - least + 1) - self.starts + least - 1
-            self.anchors = anchors[self.starts]
 
-    def _anchors(self, gram: int) -> np.ndarray:
-        """For each window start, the smallest hash of the grams in the window; in pieces that stay in a core's cache."""
+    def _spans(self, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of windows with one anchor, the smallest hash of the grams in the window, begin, and the anchors.
+
+        Worked out in pieces that stay in a core's cache, so a very long text needs no more than its bytes beside the spans.
+        """
         n, span = len(self.data), self.least - gram + 1
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        out = np.empty(n - self.least + 1, np.uint64)
+        windows = n - self.least + 1
+        valid = np.ones(windows, bool)  # windows that end in the document they start in
+        heads = np.zeros(windows, bool)
+        for start, end in zip(self.off[:-1].tolist(), self.off[1:].tolist()):
+            valid[max(0, end - self.least + 1) : end] = False
+            heads[start : start + 1] = True
+        starts, anchors, last = [], [], np.zeros(1, np.uint64)
         step = 1 << 15
-        for a in range(0, len(out), step):
-            b = min(len(out), a + step)
+        for a in range(0, windows, step):
+            b = min(windows, a + step)
             m = b - a + span - 1
             words = np.ndarray(m + gram - 8, np.uint64, padded, a, (1,))  # eight bytes from each place on
             h = words[:m] * BASE
@@ -89,20 +101,24 @@ class Slab:
                 width *= 2
             if width < span:
                 h = np.minimum(h[: -(span - width)], h[span - width :])
-            out[a:b] = h
-        return out
+            new = np.flatnonzero(((h != np.concatenate([last, h[:-1]])) | heads[a:b]) & valid[a:b])
+            starts.append(new + a)
+            anchors.append(h[new])
+            last = h[-1:]
+        return np.concatenate(starts), np.concatenate(anchors)
 
     def content(self, which: np.ndarray) -> np.ndarray:
         """A hash of the text of each span."""
         n = len(self.data)
-        p = powers(n + 1)
+        low = powers(STRETCH)[:STRETCH]
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * p[:n], out=sums[1:])
+        for x in range(0, n, STRETCH):
+            part = BYTE_VALUES[self.data[x : x + STRETCH]] * low[: min(STRETCH, n - x)] * np.uint64(pow(int(BASE), x, 2**64))
+            sums[x + 1 : x + 1 + len(part)] = np.cumsum(part, dtype=np.uint64) + sums[x : x + 1]
         a, b = self.starts[which], self.starts[which] + self.sizes[which]
-        inverse = np.full(1 << max(1, int(n).bit_length()), INVERSE, np.uint64)
-        inverse[0] = 1
-        inverse = np.cumprod(inverse, dtype=np.uint64)
-        return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * BASE)
+        high = np.array([pow(INVERSE, x, 2**64) for x in range(0, n + 1, STRETCH)], np.uint64)
+        inverse = _inverses()[a & (STRETCH - 1)] * high[a // STRETCH]
+        return mix((sums[b] - sums[a]) * inverse + (b - a).astype(np.uint64) * BASE)
 
 
 def _part(anchors: np.ndarray, parts: int) -> np.ndarray:
@@ -146,15 +162,19 @@ def send_anchors(slab_id: int, slab: Slab, parts: int) -> pa.Table:
 
 
 def answer_anchors(rows: pa.Table) -> pa.Table:
-    """For each slab of a part, which of its anchors occur in two documents or more."""
-    slabs = rows.column("slab").to_pylist()
-    one = [np.frombuffer(x, np.uint32) for x in rows.column("one").to_pylist()]
-    more = [np.frombuffer(x, np.uint32) for x in rows.column("several").to_pylist()]
-    values = np.sort(np.concatenate([*one, *more, *more]))
-    twice = np.unique(values[1:][values[1:] == values[:-1]])
-    found = [np.intersect1d(np.concatenate([a, b]), twice) for a, b in zip(one, more)]
-    keep = [k for k, f in enumerate(found) if len(f)]
-    return pa.table({"slab": pa.array([slabs[k] for k in keep], pa.int64()), "part": pa.array([rows.column("part")[0].as_py()] * len(keep), pa.int64()), "anchors": pa.array([found[k].tobytes() for k in keep], pa.binary())})
+    """For each slab of a part, which of its anchors occur in two documents or more; one sort of the part's anchors, whatever the number of slabs."""
+    one, more = (rows.column(c).to_pylist() for c in ("one", "several"))
+    single, several = (np.frombuffer(b"".join(x), np.uint32) for x in (one, more))
+    values = np.sort(np.concatenate([single, several]))
+    twice = np.unique(np.concatenate([values[1:][values[1:] == values[:-1]], several]))
+    sizes = np.array([len(x) // 4 for x in one], np.int64)
+    at = np.minimum(np.searchsorted(twice, single), max(0, len(twice) - 1))
+    hit = twice[at] == single if len(twice) else np.zeros(len(single), bool)
+    bounds = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])]
+    found = single[hit]
+    answers = [found[a:b].tobytes() + s for a, b, s in zip(bounds[:-1].tolist(), bounds[1:].tolist(), more)]
+    keep = [k for k, a in enumerate(answers) if a]
+    return pa.table({"slab": rows.column("slab").take(pa.array(keep, pa.int64())), "part": rows.column("part").take(pa.array(keep, pa.int64())), "anchors": pa.array([answers[k] for k in keep], pa.binary())})
 
 
 def send_spans(slab_id: int, slab: Slab, parts: int, answers: pa.Table) -> pa.Table:
@@ -172,7 +192,7 @@ def send_spans(slab_id: int, slab: Slab, parts: int, answers: pa.Table) -> pa.Ta
         content, first = np.unique(content, return_index=True)  # spans are in order of key, so the first has the smallest
         which = which[first]
         data = slab.data.tobytes()
-        for p, rows in _by_part(part[which]):
+        for p, rows in _by_part(part[which] * FAN + (_short(slab.anchors[which]) % FAN)):
             own = which[rows]
             out["slab"].append(slab_id)
             out["part"].append(p)
@@ -277,10 +297,9 @@ def covered(slab: Slab, answers: pa.Table) -> np.ndarray:
     hit = (key[row] < slab.keys[slab.docs[span]]) & (last[row] + slab.least - 1 <= slab.sizes[span])
     a = slab.starts[span[hit]] + first[row[hit]]
     b = slab.starts[span[hit]] + last[row[hit]] + slab.least - 1
-    depth = np.zeros(n + 1, np.int64)
-    np.add.at(depth, a, 1)
-    np.add.at(depth, b, -1)
-    return np.cumsum(depth[:n]) > 0
+    depth = np.bincount(a, minlength=n + 1).astype(np.int32)
+    depth -= np.bincount(b, minlength=n + 1).astype(np.int32)
+    return np.cumsum(depth[:n], dtype=np.int32) > 0
 
 
 def cut_texts(slab: Slab, gone: np.ndarray) -> pa.Table:
@@ -305,8 +324,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """key, n_bytes, n_removed, n_spans and `kept` (the remaining bytes) or, with `digest`, `kept_sha256`."""
     _, size = input_bytes(docs, text)
     slabs = max(1, -(-size // slab_bytes))
-    parts = slabs
-    dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(slabs)).alias("slab"))
+    parts = max(1, -(-slabs // FAN))
+    dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(slabs)).alias("slab"))
 
     def first(rows: pa.Table) -> pa.Table:
         return send_anchors(rows.column("slab")[0].as_py(), Slab(rows, least, gram), parts)

@@ -25,14 +25,14 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """At most about `most` labelled rows to learn from, chosen by a hash of the key: (key, text, y).
 
-    Held-out keys, null labels and keys with labels that differ are left out; of repeated rows one is used.
+    Held-out keys, null labels and keys with labels that differ are left out; of rows with one key, that with the smallest text is used.
     """
     own = labels.where(~held_out(F.col(key), modulus, remainder) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y").select(key, F.col("y").cast("double").alias("y"))
     n = own.count()
     share = min(1.0, most / max(1, n))
-    chosen = own.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = own.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40)) < int(share * (1 << 40)))
     picked = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    return picked.join(F.broadcast(chosen), key).dropDuplicates([key])  # at most `most` keys, so the broadcast is bounded
+    return picked.join(F.broadcast(chosen), key).groupBy(key).agg(F.min(text).alias(text), F.min("y").alias("y"))  # at most about `most` keys, so the broadcast is bounded
 
 
 def ngrams(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,8 @@ Training takes a bounded sample (`most`) of rows with a language; a table of 2**
 size fixed by the number of languages.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; texts with letters but no scored word get the commonest language
-with score 0; rows with a null key are predicted; repeated rows are predicted alike; without training rows all are `und`.
+with score 0; rows with a null key are predicted; repeated rows are predicted alike; without training rows all are `und`; a very long text is passed
+over alone, with tables linear in its words; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from millrace.llm.features import held_out
 from millrace.llm.vec import BYTE_VALUES, LOWER, mix, slabs, word_hashes, word_spans
 
 BITS = 17
+#: Bytes of distinct words scored at once, and table cells of a Viterbi pass over texts side by side.
+PIECE, CELLS = 1 << 20, 1 << 21
 ORDERS = 4
 #: First and last code point of each script's main ranges.
 SCRIPTS = {
@@ -82,31 +85,34 @@ class Model:
         self.uses = (seen / np.maximum(seen.sum(axis=1, keepdims=True), 1)).T >= 0.01
         self.common = int(rows.argmax()) if len(rows) else 0
 
-    def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word in each language, over distinct words; 0 for words whose script no language uses."""
+    def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods of the distinct words in each language, 0 for words whose script no language uses, and which of them each word is."""
         hashes = word_hashes(data, starts, ends)
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         a, b = starts[first], ends[first]
-        out = np.zeros((len(first), len(self.langs)), np.float64)
-        places, words = gram_places(data, a, b)
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(words, weights=self.log[places, k], minlength=len(first)) / ORDERS
+        out = np.zeros((len(first), len(self.langs)), np.float32)
+        size = np.cumsum(b - a + 2)
+        at = 0
+        while at < len(first):  # in pieces, since n-grams take many times the words' bytes
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE, "right")))
+            places, words = gram_places(data, a[at:to], b[at:to])
+            for k in range(len(self.langs)):
+                out[at:to, k] = np.bincount(words, weights=self.log[places, k], minlength=to - at) / ORDERS
+            at = to
         allowed = np.vstack([self.uses, np.zeros(len(self.langs), bool)])[scripts(data, a, b)]
-        some = allowed.any(axis=1)
         out -= out.max(axis=1, keepdims=True)
-        out = np.where(some[:, None], np.where(allowed, out, -50.0), 0.0)
-        return out[inverse]
+        return np.where(allowed.any(axis=1)[:, None], np.where(allowed, out, np.float32(-50.0)), np.float32(0.0)), inverse
 
 
-def _paths(s: np.ndarray, bounds: list[tuple[int, int]], switch: float) -> list[np.ndarray]:
-    """Best paths of several texts side by side."""
+def _paths(table: np.ndarray, word: np.ndarray, bounds: list[tuple[int, int]], switch: float) -> list[np.ndarray]:
+    """Best paths of several texts side by side; the texts of a call should be about equally long, as the tables are as long as the longest."""
     order = sorted(range(len(bounds)), key=lambda k: bounds[k][0] - bounds[k][1])
     a = np.array([bounds[k][0] for k in order])
     size = np.array([bounds[k][1] - bounds[k][0] for k in order])
     longest = int(size[0])
-    value = s[a].copy()
-    back = np.zeros((longest, len(a)), np.int16)  # the state changed to, or -1 where the state stays
-    stays = np.zeros((longest, len(a), (s.shape[1] + 7) // 8), np.uint8)
+    value = table[word[a]].astype(np.float64)
+    back = np.zeros((longest, len(a)), np.int16)  # the state changed to, where the state does not stay
+    stays = np.zeros((longest, len(a), (table.shape[1] + 7) // 8), np.uint8)
     for t in range(1, longest):
         n = int(np.searchsorted(-size, -t, "left"))
         v = value[:n]
@@ -115,7 +121,7 @@ def _paths(s: np.ndarray, bounds: list[tuple[int, int]], switch: float) -> list[
         stay = v >= jump[:, None]
         back[t, :n] = best
         stays[t, :n] = np.packbits(stay, axis=1)
-        value[:n] = np.where(stay, v, jump[:, None]) + s[a[:n] + t]
+        value[:n] = np.where(stay, v, jump[:, None]) + table[word[a[:n] + t]]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(bounds)
     for k, name in enumerate(order):
         path = np.empty(size[k], np.int64)
@@ -132,21 +138,25 @@ def label(model: Model, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.
     """For each text the starts, ends and languages of its words."""
     plain = WORDS[data]
     starts, ends, bounds = word_spans(plain, off)
-    s = model.scores(plain, starts, ends) if len(starts) else np.zeros((0, len(model.langs)))
+    table, word = model.scores(plain, starts, ends) if len(starts) else (np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64))
     paths: list = [None] * (len(off) - 1)
     hard = []
     for k in range(len(off) - 1):
         a, b = int(bounds[k]), int(bounds[k + 1])
-        own = s[a:b]
-        best = int(own.sum(axis=0).argmax()) if b > a else 0
+        own = table[word[a:b]]
+        best = int(own.sum(axis=0, dtype=np.float64).argmax()) if b > a else 0
         paths[k] = np.full(b - a, best)
         if b > a and own.shape[1] > 1:
-            others = np.delete(own, best, axis=1).max(axis=1) - own[:, best]
+            others = np.delete(own, best, axis=1).max(axis=1).astype(np.float64) - own[:, best]
             c = np.concatenate([[0.0], np.cumsum(others)])
             if (c - np.minimum.accumulate(c)).max() > model.switch:
-                hard.append(k)
-    for k, path in zip(hard, _paths(s, [(int(bounds[k]), int(bounds[k + 1])) for k in hard], model.switch) if hard else []):
-        paths[k] = path
+                hard.append((a - b, k))
+    hard.sort()
+    while hard:  # longest first, as many side by side as keep the tables small
+        group = [k for _, k in hard[: max(1, CELLS // -hard[0][0])]]
+        hard = hard[len(group) :]
+        for k, path in zip(group, _paths(table, word, [(int(bounds[k]), int(bounds[k + 1])) for k in group], model.switch)):
+            paths[k] = path
     for k, path in enumerate(paths):
         a, b = int(bounds[k]), int(bounds[k + 1])
         yield starts[a:b] - off[k], ends[a:b] - off[k], path
@@ -156,8 +166,10 @@ def fit(docs: DataFrame, learn: Column, text: str, lang: str, key: str, most: in
     """A model from at most about `most` rows that satisfy `learn` and have a language."""
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = known.count()
-    share = int(min(1.0, most / max(1, n)) * 1_000_000)
-    sample = known.where(F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(1_000_000)) < share).select(text, F.col(lang).alias("lang"))
+    share = int(min(1.0, most / max(1, n)) * (1 << 40))
+    sample = known.where(F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(1 << 40)) < share).select(text, F.col(lang).alias("lang"))
+
+    parts = min(64, docs.sparkSession.sparkContext.defaultParallelism * 2)  # a table of counts leaves each
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -179,7 +191,7 @@ def fit(docs: DataFrame, learn: Column, text: str, lang: str, key: str, most: in
         total = sum(np.frombuffer(v.as_py(), np.float32).astype(np.float64) for v in rows.column("v"))
         return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()]), "v": pa.array([total.tobytes()], pa.binary())})
 
-    found = sample.repartition(16).mapInArrow(count, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()  # one table of fixed size for each language
+    found = sample.repartition(parts).mapInArrow(count, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()  # one table of fixed size for each language
     found.sort(key=lambda r: r[0])
     table = np.array([np.frombuffer(r[1]) for r in found]).reshape(-1, (1 << BITS) + OTHER + 2)
     return Model([r[0] for r in found], table[:, : 1 << BITS], table[:, 1 << BITS : -2], table[:, -1], switch)

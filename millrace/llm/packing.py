@@ -2,16 +2,18 @@
 
 Only the number of pieces of each length matters for packing, so the plan is made from a histogram of at most `size` rows, whatever the corpus:
 
-1. Reduction (Martello and Toth). A set of pieces that dominates every other set with the same largest piece is fixed for good: a piece nothing fits
-   beside; a pair that fills a sequence exactly; a piece with its largest partner where no two pieces fit beside it, or where the partner is at
-   least as long as any two that do. What is left is a smaller instance with the same optimum.
+1. Reduction (Martello and Toth). A set of pieces that dominates every other set with the same piece is fixed for good: a piece nothing fits beside; a
+   pair that fills a sequence exactly; a piece with its largest partner where no other pieces that fit beside it, however many, sum to more than that
+   partner. Pieces are tried from the longest to the shortest, again and again until none can be fixed. What is left is a smaller instance with the same
+   optimum.
 2. Best fit, longest first, for the rest, many equal sequences at a time.
 
 The plan is a list of runs: `count` pieces of one length, from one rank on, go to consecutive sequences at one offset. Ranks are given by rows within
 (length, salt) and sums over salts, so a length that a third of all pieces share is ranked by many tasks.
 
 Defined cases: a null text counts as empty and packs as its end id alone; texts longer than a sequence are cut, all other pieces stay whole; repeated
-rows are packed each by itself; an empty table gives an empty result; columns other than key and text are not read.
+rows are packed each by itself; very long texts, also without spaces, are tokenised in time and memory linear in them; an empty table gives an empty
+result; columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import settle
+from millrace.llm.shared import Memo, settle
 from millrace.llm.vec import slabs
 
-#: Words kept tokenised in a worker; the table is emptied when full.
-CACHE = 400_000
+#: Bytes of tokenised words kept in a worker; the table is emptied when full.
+CACHE_BYTES = 64 << 20
 PIECES_PER_SALT = 50_000
 
 
@@ -68,18 +70,19 @@ class WordTokens:
                 ranks[bytes(byte_of[c] for c in stem) + end] = i
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.special = tuple(special)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Memo(CACHE_BYTES)
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            ids: list[int] = []
+        if not word:
+            ids = []
+        elif PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            ids = []
             for part in PARTS.findall(word.lower()):
                 ids += self.merge(part.encode() + END_OF_WORD)
         else:
             ids = self.lib.encode(word, add_special_tokens=False).ids
-        if len(self.known) >= CACHE:
-            self.known = {"": b""}
-        found = self.known[word] = array("I", ids).tobytes()
+        found = array("I", ids).tobytes()
+        self.known.keep(word, found, len(found))
         return found
 
     def ids(self, text: str) -> bytes:
@@ -128,39 +131,33 @@ def reduce_instance(counts: list[int], size: int) -> tuple[list[tuple[tuple[int,
             fix((n,) if n == size else (n, size - n), many)
     if size % 2 == 0 and left[size // 2] > 1:
         fix((size // 2, size // 2), left[size // 2] // 2)
-    present = [n for n in range(1, size + 1) if left[n]]
-    while present:
-        n = present[-1]
-        room = size - n
-        if present[0] > room:
-            fix((n,), left[n])
-        else:
-            small = [m for m in present[:3] for _ in range(min(3, left[m]))][:3]
-            at = bisect.bisect_right(present, room) - 1
-            partner = present[at]
-            if partner == n and left[n] < 2:
-                if at == 0:
-                    fix((n,), 1)
-                    present = [m for m in present if left[m]]
-                    continue
-                partner = present[at - 1]
-            best = 0
-            if len(small) > 1 and small[0] + small[1] <= room:
-                if len(small) > 2 and sum(small) <= room:
-                    break  # three or more fit beside it: no small set is known to dominate
-                fit = [m for m in present if m <= room]
-                for m in fit:
-                    k = bisect.bisect_right(fit, room - m) - 1
-                    while k >= 0 and fit[k] == m and left[m] < 2:
-                        k -= 1
-                    best = max(best, m + fit[k] if k >= 0 else 0)
-            if best > partner:
-                break
-            many = left[n] // 2 if partner == n else min(left[n], left[partner])
-            if best or (len(small) > 1 and small[0] + small[1] <= room):
-                many = min(many, 1)  # the test looked at what is left now
-            fix((n, partner), max(1, many))
-        present = [m for m in present if left[m]]
+
+    def fullest(room: int, n: int) -> int:
+        """The largest sum up to `room` of pieces beside one of length n: reachable sums as bits of a number."""
+        sums, mask = 1, (1 << room + 1) - 1
+        for m in range(1, room + 1):
+            many, step = min(left[m] - (m == n), room // m), 1
+            while many > 0:
+                sums |= sums << m * min(step, many) & mask
+                many, step = many - min(step, many), 2 * step
+            if sums >> room:
+                return room
+        return sums.bit_length() - 1
+
+    going = True
+    while going:
+        going = False
+        for n in range(size - 1, 0, -1):
+            room = size - n
+            while left[n]:
+                partner = next((m for m in range(room, 0, -1) if left[m] > (m == n)), 0)
+                if not partner:
+                    fix((n,), left[n])
+                elif fullest(room, n) > partner:
+                    break  # some other set with this piece is fuller; the next piece may still have one that dominates
+                else:  # no set of the others has a larger sum, and none will have while there are partners of this length
+                    fix((n, partner), left[n] // 2 if partner == n else min(left[n], left[partner]))
+                going = True
     return fixed, left
 
 

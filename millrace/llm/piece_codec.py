@@ -6,7 +6,8 @@ two spelled together are merged back into just these two. Ids are then recovered
 only in front and never a line feed, so texts fall into units that merge independently; units repeat, and each is solved once per worker.
 
 Defined cases: null and empty texts give the begin and end ids only; characters outside the vocabulary become byte pieces; repeated rows are coded
-each by itself; other columns are not read. The model file is a parameter and is never copied.
+each by itself; a text without spaces is one long unit, worked on in time and memory linear in it; an empty table gives an empty result; other columns
+are not read. The model file is a parameter and is never copied.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm.shared import Memo
 from millrace.llm.vec import slabs
 
 MARK = "▁"
 LATIN = "A-Za-z\u00c0-\u024f"
-#: Units kept solved in a worker; the table is emptied when full, so memory stays bounded.
-CACHE = 400_000
+#: Bytes of solved words and of solved units kept in a worker, and pairs tested; each table is emptied when full, so memory stays bounded.
+CACHE_BYTES, PAIRS = 64 << 20, 400_000
 
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -67,8 +69,7 @@ class PieceCodec:
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
-        self._words: dict[str, tuple[bytes, bytes]] = {}
-        self._units: dict[str, tuple[bytes, bytes]] = {}
+        self._words, self._units = Memo(CACHE_BYTES), Memo(CACHE_BYTES)
 
     @staticmethod
     def _units_of(pieces: dict[str, int]) -> re.Pattern:
@@ -98,15 +99,15 @@ class PieceCodec:
         """Whether two pieces, spelled together, are merged back into just these two."""
         known = self._pairs.get(left << 20 | right)
         if known is None:
-            if len(self._pairs) >= CACHE:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             a, b = self.pieces[left], self.pieces[right]
             known = self._pairs[left << 20 | right] = self._merged(a + b) == [a, b]
         return known
 
-    def tokens(self, unit: str) -> list[int]:
+    def tokens(self, unit: str) -> array:
         """Ids of one unit, by the table of last tokens; a character that no piece covers becomes its bytes."""
-        last, pairs, compatible = [-1] * len(unit), self._pairs, self.compatible
+        last, pairs, compatible = array("i", [-1]) * len(unit), self._pairs, self.compatible
         sizes = self.sizes
         for at, piece in self.automaton.iter(unit):
             if last[at] < 0:
@@ -115,11 +116,11 @@ class PieceCodec:
                     last[at] = piece
                 elif (ok := pairs.get(left << 20 | piece)) or ok is None and compatible(left, piece):
                     last[at] = piece
-        out, i = [], len(unit) - 1
+        out, i = array("I"), len(unit) - 1
         while i >= 0:
             piece = last[i]
             if piece < 0:
-                out += [self.byte_ids[b] for b in reversed(unit[i].encode())]
+                out.extend(self.byte_ids[b] for b in reversed(unit[i].encode()))
                 i -= 1
             else:
                 out.append(piece)
@@ -128,19 +129,15 @@ class PieceCodec:
 
     def _solve(self, unit: str) -> tuple[bytes, bytes]:
         ids = self.tokens(unit)
-        solved = array("I", ids).tobytes(), b"".join(map(self.spelled.__getitem__, ids))
-        if len(self._units) >= CACHE:
-            self._units.clear()
-        self._units[unit] = solved
+        solved = ids.tobytes(), b"".join(map(self.spelled.__getitem__, ids))
+        self._units.keep(unit, solved, len(solved[0]) + len(solved[1]))
         return solved
 
     def _word(self, word: str) -> tuple[bytes, bytes]:
         """What stands between two single spaces, with the first of them; its units are solved one by one."""
         pairs = [self._units.get(u) or self._solve(u) for u in self.unit.findall(MARK + word)]
         solved = b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
-        if len(self._words) >= CACHE:
-            self._words.clear()
-        self._words[word] = solved
+        self._words.keep(word, solved, len(solved[0]) + len(solved[1]))
         return solved
 
     def encode_spelled(self, text: str) -> tuple[bytes, bytes]:

@@ -1,14 +1,15 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are a text's distinct words, neighbouring pairs and pairs with one or two words between, hashed to 2**bits places. Training goes through a
-bounded sample of labelled rows (`most`, a parameter) in one task on an executor, row by row, with a rate for each coordinate; the L1 term keeps
-most weights at zero, so what is broadcast for scoring is a sparse list, bounded by 2**bits entries. Scoring is one pass without a shuffle.
+bounded sample of labelled rows (`most`, a parameter) in one task on an executor, row by row, with a rate for each coordinate; features are made by many tasks
+and stream through that one, so long texts are never held together. The L1 term keeps most weights at zero, so what is broadcast for scoring is a sparse list, bounded by 2**bits entries. Scoring is one pass without a shuffle.
 
 A text's logit is the sum of its weights, without regard to its length: a few words make a text toxic however long it is. Scores are then moved by
 the threshold that separates the training rows best, so that 0.7 stands for it.
 
 Defined cases: null texts count as empty and score as the model's bias says; repeated rows score alike; with no labelled rows, or one class only, every
-score is the share of label 1 (0 without labels); rows with a null key are scored too and count as not held out.
+score is the share of label 1 (0 without labels); rows with a null key are scored too and count as not held out; very long texts are read whole; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.features import held_out, labelled_sample, ngrams
-from millrace.llm.vec import buffers, slabs
+from millrace.llm.shared import free, settle
+from millrace.llm.vec import slabs
 
 BITS = 20
 
@@ -65,32 +67,47 @@ def cut_point(scores: np.ndarray, y: np.ndarray) -> float:
     return float(scores[order][k] + nxt) / 2
 
 
-def train(rows: pa.Table, bits: int, epochs: int) -> pa.Table:
-    """The model as rows (place, weight): place -1 is the bias, -2 the cut point, -3 the share of label 1."""
-    y = rows.column("y").to_numpy()
-    data, off = buffers(rows.column("text"))
-    order = np.argsort(rows.column("order").to_numpy(), kind="stable")
-    model = Ftrl(bits, l1=max(2.0, 8.0 * (len(y) / 2700) ** 0.5))  # chance features grow with the rows, and so does the weight they must exceed
-    found = []
-    for a in range(0, len(y), 256):
-        b = min(len(y), a + 256)
-        f, at = ngrams(data[off[a] : off[b]], off[a : b + 1] - off[a], bits)
-        found += [f[s:e].astype(np.int32) for s, e in zip(at[:-1], at[1:])]
-    for _ in range(epochs):
-        for k in order:
-            model.learn(found[k], y[k])
-    every = model.weights(np.arange(1 << bits))
+def featured(sample: DataFrame, text: str, bits: int) -> DataFrame:
+    """order, y and the feature numbers of each row, made where the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in slabs(batches, text, 1 << 20):
+            f, at = ngrams(data, off, bits)
+            yield pa.RecordBatch.from_arrays([part.column("order"), part.column("y"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32)))], ["order", "y", "features"])
+
+    return sample.mapInArrow(run, "order long, y double, features array<int>")
+
+
+def train(batches: Iterator[pa.RecordBatch], model: Ftrl, bits: int, epochs: int) -> Iterator[pa.RecordBatch]:
+    """The model as rows (place, weight): place -1 is the bias, -2 the cut point, -3 the share of label 1.
+
+    Rows come in order, `epochs` times to learn from and once more to be scored, so that none has to be held.
+    """
+    every, bias, logits, labels = np.zeros(1 << bits), 0.0, [], []
+    for b in batches:
+        for turn, y, f in zip(b.column("turn").to_pylist(), b.column("y").to_pylist(), b.column("features")):
+            found = f.values.to_numpy()
+            if turn < epochs:
+                model.learn(found, y)
+                continue
+            if not logits:
+                every, bias = model.weights(np.arange(1 << bits)), model.bias()
+            logits.append(every[found].sum() + bias)
+            labels.append(y)
     places = np.flatnonzero(every)
-    bias = model.bias()
-    logits = np.array([every[f].sum() + bias for f in found])
-    extra = [bias, cut_point(logits, y) if 0 < y.sum() < len(y) else 0.0, float(y.mean()) if len(y) else 0.0]
-    return pa.table({"place": pa.array([*places.tolist(), -1, -2, -3], pa.int64()), "weight": pa.array([*every[places].tolist(), *extra], pa.float64())})
+    y = np.array(labels)
+    extra = [bias, cut_point(np.array(logits), y) if 0 < y.sum() < len(y) else 0.0, float(y.mean()) if len(y) else 0.0]
+    yield pa.RecordBatch.from_arrays([pa.array([*places.tolist(), -1, -2, -3], pa.int64()), pa.array([*every[places].tolist(), *extra], pa.float64())], ["place", "weight"])
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, key: str = "doc_id", text: str = "text", label: str = "toxic", at: float = 0.7, most: int = 12_000, epochs: int = 2, bits: int = BITS) -> DataFrame:
     """key, held_out, score and predicted for every document."""
-    sample = labelled_sample(docs, labels, label, modulus, remainder, most, key, text).select(F.lit(0).alias("one"), F.xxhash64(F.col(key), F.lit(5)).alias("order"), F.col(text).alias("text"), "y")
-    model = sample.groupBy("one").applyInArrow(lambda t: train(t, bits, epochs), "place long, weight double").toArrow()  # one bounded group; at most 2**bits rows come back
+    sample = labelled_sample(docs, labels, label, modulus, remainder, most, key, text).select(F.xxhash64(F.col(key), F.lit(5)).alias("order"), F.col(text).alias("text"), "y")
+    known = settle(featured(sample, "text", bits), "features")
+    l1 = max(2.0, 8.0 * (known.count() / 2700) ** 0.5)  # chance features grow with the rows, and so does the weight they must exceed
+    turns = known.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(epochs)))).repartition(1).sortWithinPartitions("turn", "order")
+    model = turns.mapInArrow(lambda b: train(b, Ftrl(bits, l1=l1), bits, epochs), "place long, weight double").toArrow()  # at most 2**bits rows come back
+    free(known)
     place, weight = model.column("place").to_numpy(), model.column("weight").to_numpy()
     special = dict(zip(place[place < 0].tolist(), weight[place < 0].tolist()))
     share = special.get(-3, 0.0)

@@ -16,11 +16,12 @@ from millrace.operators import gates
 from millrace.sources.stage import ranges, settle
 
 ORDER = ("priority", "doc_ord")
+LAST = 2**31 - 1
 
 
 def with_order(docs: DataFrame) -> DataFrame:
-    """Driver tables in the engine's order: the number in the source's name, then the key."""
-    return docs.select(F.substring("source", 4, 10).cast("int").alias("priority"), F.col("doc_id").alias("doc_ord"), "source", "text")
+    """Driver tables in the engine's order: the number in the source's name, then the key. Sources without a number come last."""
+    return docs.select(F.coalesce(F.substring("source", 4, 10).try_cast("int"), F.lit(LAST)).alias("priority"), F.col("doc_id").alias("doc_ord"), "source", "text")
 
 
 def gated(docs: DataFrame, b: Build) -> DataFrame:
@@ -35,6 +36,13 @@ def gated(docs: DataFrame, b: Build) -> DataFrame:
     return cleaned.withColumn("reason", reason).drop("words")
 
 
+def _told(rows: DataFrame, firsts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`name`: whether a row's keys are among `firsts`, nulls being equal. Rows with the same keys are told the same."""
+    found = firsts.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_first", F.lit(True))
+    same = [rows[k].eqNullSafe(found[f"_{k}"]) for k in keys]
+    return rows.join(found, same, "left").withColumn(name, F.coalesce("_first", F.lit(False))).drop("_first", *[f"_{k}" for k in keys])
+
+
 def passed(docs: DataFrame, b: Build) -> DataFrame:
     """Rows that pass all gates. All rows are written with their reason first, so that no filter repeats the work behind it."""
     return settle(gated(docs, b), "gated").where("reason IS NULL")
@@ -46,8 +54,8 @@ def first_documents(docs: DataFrame) -> DataFrame:
     Only digests and order columns are aggregated; the answer comes back by the order columns, so a text that very many rows share is no hot key.
     """
     keyed = docs.select(*ORDER, F.md5("text").alias("_digest"))
-    first = keyed.groupBy("_digest").agg(F.min(F.struct(*ORDER)).alias("_f")).select("_f.*", F.lit(True).alias("_first"))
-    return docs.join(first, list(ORDER), "left").withColumn("first_document", F.coalesce("_first", F.lit(False))).drop("_first")
+    first = keyed.groupBy("_digest").agg(F.min(F.struct(*ORDER)).alias("_f")).select("_f.*")
+    return _told(docs, first, [*ORDER], "first_document")
 
 
 def exploded_segments(docs: DataFrame) -> DataFrame:
@@ -61,8 +69,8 @@ def fresh_segments(segments: DataFrame, floor: int) -> DataFrame:
     A segment of a document that is dropped later still counts as seen, so one pass decides.
     """
     long = F.length("seg") >= floor
-    first = segments.where(long).groupBy(F.md5("seg")).agg(F.min(F.struct(*ORDER, "pos")).alias("_f")).select("_f.*", F.lit(True).alias("_first"))
-    return segments.join(first, [*ORDER, "pos"], "left").withColumn("fresh", ~long | F.coalesce("_first", F.lit(False))).drop("_first")
+    first = segments.where(long).groupBy(F.md5("seg")).agg(F.min(F.struct(*ORDER, "pos")).alias("_f")).select("_f.*")
+    return _told(segments, first, [*ORDER, "pos"], "fresh").withColumn("fresh", ~long | F.col("fresh"))
 
 
 def build(docs: DataFrame, b: Build = Build()) -> DataFrame:

@@ -11,9 +11,10 @@ from millrace.sources.stage import free, settle
 
 
 def exact_first(docs: DataFrame) -> DataFrame:
-    """`copy`: whether an earlier row has the same text. Digests are aggregated, and the answer comes back by doc_id."""
-    first = docs.groupBy(F.md5("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(False).alias("copy"))
-    return docs.join(first, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(True)))
+    """`copy`: whether an earlier row has the same text. Digests are aggregated, and the answer comes back by doc_id; rows without one are no copies."""
+    first = docs.groupBy(F.md5("text")).agg(F.min("doc_id").alias("_first")).select("_first").distinct()
+    joined = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left")
+    return joined.withColumn("copy", F.col("_first").isNull() & F.col("doc_id").isNotNull()).drop("_first")
 
 
 def shingle_sets(docs: DataFrame, size: int = 13, step: int = 3) -> DataFrame:

@@ -303,7 +303,7 @@ def covered(slab: Slab, answers: pa.Table) -> np.ndarray:
 
 
 def cut_texts(slab: Slab, gone: np.ndarray) -> pa.Table:
-    """key, n_bytes, n_removed, n_spans and the bytes that stay."""
+    """key, n_bytes, n_removed, n_spans, the MD5 of the text and the bytes that stay."""
     rows = []
     kept = slab.data[~gone].tobytes()
     left = np.concatenate([[0], np.cumsum(~gone)])
@@ -314,14 +314,14 @@ def cut_texts(slab: Slab, gone: np.ndarray) -> pa.Table:
         begins[inner[inner < len(gone)]] = gone[inner[inner < len(gone)]]
     runs = np.concatenate([[0], np.cumsum(begins)])
     for k, (a, b) in enumerate(zip(slab.off[:-1].tolist(), slab.off[1:].tolist())):
-        rows.append((None if slab.nulls[k] else int(slab.keys[k]), b - a, int(b - a - left[b] + left[a]), int(runs[b] - runs[a]), kept[left[a] : left[b]]))
-    names = ("key", "n_bytes", "n_removed", "n_spans", "kept")
-    columns = list(zip(*rows)) if rows else [[]] * 5
-    return pa.table({c: pa.array(v, pa.binary() if c == "kept" else pa.int64()) for c, v in zip(names, columns)})
+        rows.append((None if slab.nulls[k] else int(slab.keys[k]), b - a, int(b - a - left[b] + left[a]), int(runs[b] - runs[a]), hashlib.md5(slab.data[a:b]).hexdigest(), kept[left[a] : left[b]]))
+    kinds = {"key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "text_md5": pa.string(), "kept": pa.binary()}
+    columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+    return pa.table({c: pa.array(v, kind) for (c, kind), v in zip(kinds.items(), columns)})
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 16, slab_bytes: int = 1 << 22, batch: int = 1 << 17, digest: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and `kept` (the remaining bytes) or, with `digest`, `kept_sha256`."""
+    """key, n_bytes, n_removed, n_spans, and the text's MD5 (`text_md5`) and remaining bytes (`kept`) or, with `digest`, `kept_sha256` alone."""
     _, size = input_bytes(docs, text)
     slabs = max(1, -(-size // slab_bytes))
     parts = max(1, -(-slabs // FAN))
@@ -333,7 +333,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     def second(rows: pa.Table, answers: pa.Table) -> pa.Table:
         return send_spans(rows.column("slab")[0].as_py(), Slab(rows, least, gram), parts, answers) if rows.num_rows else SPANS.empty_table()
 
-    last_column = "kept_sha256 string" if digest else "kept binary"
+    last_column = "kept_sha256 string" if digest else "text_md5 string, kept binary"
 
     def third(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -342,7 +342,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             slab = Slab(rows, least, gram)
             out = cut_texts(slab, covered(slab, answers))
         if digest:
-            out = out.set_column(4, "kept_sha256", pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in out.column("kept")], pa.string()))
+            out = out.drop(["text_md5", "kept"]).append_column("kept_sha256", pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in out.column("kept")], pa.string()))
         return out
 
     anchors = dealt.groupBy("slab").applyInArrow(first, "slab long, part long, one binary, several binary")

@@ -3,8 +3,8 @@
 Each stage's result is to be written before the next stage begins, which then drops the tables that the one before has left in the shared folder.
 
 Defined cases, in every stage: a null text counts as empty, and documents without a word go with the first stage; rows without a doc_id pass the stages that
-compare documents unchanged (they take no part in near_dedup, and lose passages that others hold in suffix_dedup); repeated rows are treated alike;
-very long texts are worked on whole; an empty table gives an empty result; columns other than those of documents are dropped, whatever their names.
+compare documents (line_dedup and near_dedup leave them as they are, suffix_dedup takes passages from them that others hold); repeated rows are treated
+alike and stay as many as they are; very long texts are worked on whole; an empty table gives an empty result; columns other than those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def stage(f: Stage) -> Stage:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop(_left)
         before = standing()
-        out = f(spark, docs, sf_dir)
+        out = f(spark, docs.select(*COLUMNS), sf_dir)
         _left.clear()
         _left.update(standing() - before)
         return out
@@ -60,7 +60,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, and with them documents in which no word is left."""
-    out = drop_recurring(docs.select(*COLUMNS)).where(_has_words("text"))
+    out = drop_recurring(docs).where(_has_words("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -80,9 +80,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A cut may fall inside a character; its remaining bytes are dropped with it.
     """
-    cut = cut_repeats(docs).where("n_removed > 0").select("doc_id", F.try_validate_utf8("kept").alias("_whole"), "kept")
-    text = F.coalesce("_whole", F.replace(F.make_valid_utf8("kept"), F.lit("�"), F.lit("")))
-    changed = docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(text))
+    cut = cut_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "text_md5", F.try_validate_utf8("kept").alias("_whole"), "kept").dropDuplicates(["_id", "text_md5"])
+    text = F.coalesce("_whole", F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
+    # Rows meet by key and text, since keys may be missing or repeat.
+    changed = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]) & (F.md5(docs["text"]) == cut["text_md5"]), "left").withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(text))
     return changed.where(_has_words("text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

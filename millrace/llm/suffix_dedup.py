@@ -57,8 +57,9 @@ class Slab:
         keys = rows.column("key").to_numpy(zero_copy_only=False) if not rows.column("key").null_count else np.array([NO_KEY if k is None else k for k in rows.column("key").to_pylist()], np.int64)
         texts = rows.column("text").fill_null("")
         order = sorted(range(len(keys)), key=lambda i: (keys[i], texts[i].as_py())) if len(np.unique(keys)) < len(keys) else np.argsort(keys, kind="stable")
+        self.order = pa.array(order, pa.int64())
         self.keys, self.nulls = keys[order].astype(np.int64), np.array(rows.column("key").is_null())[order]
-        self.data, self.off = buffers(texts.take(pa.array(order, pa.int64())))
+        self.data, self.off = buffers(texts.take(self.order))
         self.least = least
         n = len(self.data)
         self.starts = self.sizes = self.docs = np.zeros(0, np.int64)
@@ -303,7 +304,7 @@ def covered(slab: Slab, answers: pa.Table) -> np.ndarray:
 
 
 def cut_texts(slab: Slab, gone: np.ndarray) -> pa.Table:
-    """key, n_bytes, n_removed, n_spans, the MD5 of the text and the bytes that stay."""
+    """key, n_bytes, n_removed, n_spans and the bytes that stay."""
     rows = []
     kept = slab.data[~gone].tobytes()
     left = np.concatenate([[0], np.cumsum(~gone)])
@@ -314,18 +315,18 @@ def cut_texts(slab: Slab, gone: np.ndarray) -> pa.Table:
         begins[inner[inner < len(gone)]] = gone[inner[inner < len(gone)]]
     runs = np.concatenate([[0], np.cumsum(begins)])
     for k, (a, b) in enumerate(zip(slab.off[:-1].tolist(), slab.off[1:].tolist())):
-        rows.append((None if slab.nulls[k] else int(slab.keys[k]), b - a, int(b - a - left[b] + left[a]), int(runs[b] - runs[a]), hashlib.md5(slab.data[a:b]).hexdigest(), kept[left[a] : left[b]]))
-    kinds = {"key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "text_md5": pa.string(), "kept": pa.binary()}
+        rows.append((None if slab.nulls[k] else int(slab.keys[k]), b - a, int(b - a - left[b] + left[a]), int(runs[b] - runs[a]), kept[left[a] : left[b]]))
+    kinds = {"key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
     columns = list(zip(*rows)) if rows else [[]] * len(kinds)
     return pa.table({c: pa.array(v, kind) for (c, kind), v in zip(kinds.items(), columns)})
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 16, slab_bytes: int = 1 << 22, batch: int = 1 << 17, digest: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, and the text's MD5 (`text_md5`) and remaining bytes (`kept`) or, with `digest`, `kept_sha256` alone."""
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 16, slab_bytes: int = 1 << 22, batch: int = 1 << 17, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, `kept` (the remaining bytes) or, with `digest`, `kept_sha256`, and the columns in `carry` of every row."""
     _, size = input_bytes(docs, text)
     slabs = max(1, -(-size // slab_bytes))
     parts = max(1, -(-slabs // FAN))
-    dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(slabs)).alias("slab"))
+    dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(slabs)).alias("slab"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
 
     def first(rows: pa.Table) -> pa.Table:
         return send_anchors(rows.column("slab")[0].as_py(), Slab(rows, least, gram), parts)
@@ -333,21 +334,21 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     def second(rows: pa.Table, answers: pa.Table) -> pa.Table:
         return send_spans(rows.column("slab")[0].as_py(), Slab(rows, least, gram), parts, answers) if rows.num_rows else SPANS.empty_table()
 
-    last_column = "kept_sha256 string" if digest else "text_md5 string, kept binary"
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    last_columns = ", ".join(["kept_sha256 string" if digest else "kept binary", *[f"{c} {docs.schema[name].dataType.simpleString()}" for c, name in zip(carried, carry)]])
 
     def third(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            out = cut_texts(Slab(rows, least, gram), np.zeros(0, bool))
-        else:
-            slab = Slab(rows, least, gram)
-            out = cut_texts(slab, covered(slab, answers))
+        slab = Slab(rows, least, gram)
+        out = cut_texts(slab, covered(slab, answers))
         if digest:
-            out = out.drop(["text_md5", "kept"]).append_column("kept_sha256", pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in out.column("kept")], pa.string()))
+            out = out.set_column(4, "kept_sha256", pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in out.column("kept")], pa.string()))
+        for c in carried:
+            out = out.append_column(c, rows.column(c).take(slab.order))
         return out
 
     anchors = dealt.groupBy("slab").applyInArrow(first, "slab long, part long, one binary, several binary")
     common = anchors.groupBy("part").applyInArrow(answer_anchors, "slab long, part long, anchors binary")
     spans = dealt.groupBy("slab").cogroup(common.groupBy("slab")).applyInArrow(second, "slab long, part long, content binary, anchor binary, size binary, key binary, text binary")
     marks = spans.groupBy("part").applyInArrow(lambda t: answer_spans(t, least, batch), "slab long, content binary, first binary, last binary, key binary")
-    done = dealt.groupBy("slab").cogroup(marks.groupBy("slab")).applyInArrow(third, f"key long, n_bytes long, n_removed long, n_spans long, {last_column}")
-    return done.withColumnRenamed("key", key)
+    done = dealt.groupBy("slab").cogroup(marks.groupBy("slab")).applyInArrow(third, f"key long, n_bytes long, n_removed long, n_spans long, {last_columns}")
+    return done.withColumnsRenamed({"key": key, **dict(zip(carried, carry))})

@@ -80,11 +80,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A cut may fall inside a character; its remaining bytes are dropped with it.
     """
-    cut = cut_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "text_md5", F.try_validate_utf8("kept").alias("_whole"), "kept").dropDuplicates(["_id", "text_md5"])
-    text = F.coalesce("_whole", F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
-    # Rows meet by key and text, since keys may be missing or repeat.
-    changed = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]) & (F.md5(docs["text"]) == cut["text_md5"]), "left").withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(text))
-    return changed.where(_has_words("text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = cut_repeats(docs, carry=("lang", "source"))
+    whole = F.coalesce(F.try_validate_utf8("kept"), F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
+    cut = cut.withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(whole))
+    return cut.where(_has_words("text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 @stage

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Paths that stand, with the session that wrote each, oldest first.
 _written: dict[str, SparkSession] = {}
@@ -67,6 +67,12 @@ def sweep() -> None:
     drop(standing())
 
 
+def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """The frame, with measures that are taken while it is written, such as rows and characters; no job of their own. They can be read after the write."""
+    watch = Observation(name)
+    return df.observe(watch, *[c.alias(k) for k, c in measures.items()]), watch
+
+
 def ranges(df: DataFrame) -> int:
     """Into how many ranges a total order is cut: as many as the cluster shuffles to, and one for each core at least."""
     spark = df.sparkSession

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.sources.stage import ranges, settle
+from millrace.sources.stage import observed, ranges, settle
 
 
-def shards(df: DataFrame, path: str, rows: int = 50_000, *order: str, parts: int | None = None) -> None:
-    """Gzipped JSON lines in order, `rows` to a file at most."""
+def shards(df: DataFrame, path: str, rows: int = 50_000, *order: str, parts: int | None = None) -> dict[str, int]:
+    """Gzipped JSON lines in order, `rows` to a file at most. Returns how many documents and characters were written, counted on the way."""
     dealt = df.repartitionByRange(parts or ranges(df), *order).sortWithinPartitions(*order) if order else df
-    dealt.select("text", "source").write.option("maxRecordsPerFile", rows).option("compression", "gzip").mode("overwrite").json(path)
+    dealt, watch = observed(dealt.select("text", "source"), "shards", documents=F.count(F.lit(1)), characters=F.coalesce(F.sum(F.length("text")), F.lit(0)))
+    dealt.write.option("maxRecordsPerFile", rows).option("compression", "gzip").mode("overwrite").json(path)
+    return watch.get
 
 
 def token_blocks(blocks: DataFrame, path: str) -> None:

@@ -167,7 +167,7 @@ def test_mixed_files_number_lines(spark, tmp_path):
 
 def test_shards_and_strict_pairs(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}", f"s{i % 3}") for i in range(9)] + [(9, "", "s0")], "n long, text string, source string")
-    writers.shards(docs, str(tmp_path / "out"), 4, "n", parts=1)
+    assert writers.shards(docs, str(tmp_path / "out"), 4, "n", parts=1) == {"documents": 10, "characters": 54}
     for k, f in enumerate(sorted((tmp_path / "out").glob("*.json.gz"))):
         f.rename(tmp_path / "out" / f"shard-{k:04d}.jsonl.gz")
     assert sorted(r["text"] for r in readers.shards(spark, str(tmp_path / "out"), ("s1",)).collect()) == [f"text {i}" for i in range(9) if i % 3 != 1]

@@ -104,8 +104,12 @@ class Model:
         return np.where(allowed.any(axis=1)[:, None], np.where(allowed, out, np.float32(-50.0)), np.float32(0.0)), inverse
 
 
-def _paths(table: np.ndarray, word: np.ndarray, bounds: list[tuple[int, int]], switch: float) -> list[np.ndarray]:
-    """Best paths of several texts side by side; the texts of a call should be about equally long, as the tables are as long as the longest."""
+def _paths(table: np.ndarray, bounds: list[tuple[int, int]], switch: float, word: np.ndarray | None = None) -> list[np.ndarray]:
+    """Best paths of several texts side by side, from the scores of words, or of distinct words and which of them each word is.
+
+    The texts of a call should be about equally long, as the tables are as long as the longest.
+    """
+    word = np.arange(len(table)) if word is None else word
     order = sorted(range(len(bounds)), key=lambda k: bounds[k][0] - bounds[k][1])
     a = np.array([bounds[k][0] for k in order])
     size = np.array([bounds[k][1] - bounds[k][0] for k in order])
@@ -155,7 +159,7 @@ def label(model: Model, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.
     while hard:  # longest first, as many side by side as keep the tables small
         group = [k for _, k in hard[: max(1, CELLS // -hard[0][0])]]
         hard = hard[len(group) :]
-        for k, path in zip(group, _paths(table, word, [(int(bounds[k]), int(bounds[k + 1])) for k in group], model.switch)):
+        for k, path in zip(group, _paths(table, [(int(bounds[k]), int(bounds[k + 1])) for k in group], model.switch, word)):
             paths[k] = path
     for k, path in enumerate(paths):
         a, b = int(bounds[k]), int(bounds[k + 1])

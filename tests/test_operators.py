@@ -224,3 +224,37 @@ def test_glue_repeated_rows(spark):
     rows = [("s", 1, "x" * 1500), ("s", 1, "x" * 1500), ("s", 1, "y"), ("s", 2, "z" * 10)]
     got = sorted((r["doc_ord"], r["text"]) for r in glue.glued(spark.createDataFrame(rows, "source string, doc_id long, text string")).collect())
     assert sorted("\n".join(t for _, t in got).split("\n")) == sorted(r[2] for r in rows)
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from millrace.sources import stage
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    def session(master, conf):
+        context = SimpleNamespace(master=master, getConf=lambda: Conf())
+        return SimpleNamespace(sparkContext=context, conf=Conf(conf))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            stage.shared_dir(session(master, {}))
+        assert stage.shared_dir(session(master, {"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert stage.shared_dir(session("local[4]", {})).startswith("file:///")
+
+
+def test_tables_are_dropped_once(spark):
+    from millrace.sources import stage
+
+    before = stage.standing()
+    one, two = stage.settle(spark.range(5), "one"), stage.settle(spark.range(7), "two")
+    assert len(stage.standing() - before) == 2 and two.count() == 7
+    stage.free(one)
+    stage.free(one)
+    assert len(stage.standing() - before) == 1 and two.count() == 7
+    stage.free(two)
+    assert stage.standing() == before

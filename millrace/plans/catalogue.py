@@ -365,7 +365,7 @@ def held_out_loss(spark, sf_dir):
 
 def window_losses(spark, sf_dir):
     found = metrics.window_losses(spark.createDataFrame(WINDOWS, "model string, doc_id long, start int, tokens long, loss double"), (0, 600), 64, "model")
-    return found.select("model", F.col("start").cast("long").alias("start"), F.round("loss", 6).alias("loss"), "texts")
+    return found.select("model", F.col("start").cast("long").alias("start"), F.when(~F.isnan("loss"), F.round("loss", 6)).alias("loss"), "texts")
 
 
 def stop_rate(spark, sf_dir):

@@ -196,7 +196,7 @@ def sql() -> dict[str, str]:
         "block_perplexity": f"SELECT part, round(exp(least(avg(loss), 20)), 6) AS perplexity FROM {values(BLOCK_LOSSES)} AS v(part, block_id, loss) GROUP BY 1",
         "held_out_loss": f"WITH b AS (SELECT part, block_id // 4 AS batch, avg(loss) AS loss, count(*) AS n FROM {values(BLOCK_LOSSES)} AS v(part, block_id, loss) GROUP BY 1, 2) SELECT part, round(sum(loss * n) / sum(n), 6) AS loss, sum(n)::BIGINT AS blocks FROM b WHERE batch * 4 < 10 GROUP BY 1",
         "window_losses": f"""WITH w AS (SELECT * FROM {values(WINDOWS)} AS v(model, doc_id, start, tokens, loss)), g AS (SELECT DISTINCT model, s AS start FROM w, (VALUES (0), (600)) AS t(s))
-          SELECT g.model, g.start::BIGINT AS start, coalesce(round(avg(w.loss), 6), 'nan'::DOUBLE) AS loss, count(w.loss) AS texts FROM g LEFT JOIN w ON w.model = g.model AND w.start = g.start AND w.tokens >= w.start + 64 GROUP BY 1, 2""",
+          SELECT g.model, g.start::BIGINT AS start, round(avg(w.loss), 6) AS loss, count(w.loss) AS texts FROM g LEFT JOIN w ON w.model = g.model AND w.start = g.start AND w.tokens >= w.start + 64 GROUP BY 1, 2""",
         "stop_rate": f"SELECT model, count(*) FILTER (WHERE last_id = end_id OR tokens < prompt_tokens + most_new) AS stopped, count(*) AS prompts FROM {values(ENDINGS)} AS v(model, last_id, end_id, prompt_tokens, tokens, most_new) GROUP BY 1",
         "end_id_check": f"SELECT model, coalesce(end_id, 0) < vocabulary AS can_end FROM {values(VOCABULARIES)} AS v(model, end_id, vocabulary)",
         "training_throughput": f"""WITH c AS (SELECT *, (step + 1 - first_step) * per_step AS seen FROM {values(CHECKS)} AS v(run, step, first_step, total_steps, per_step, seconds))

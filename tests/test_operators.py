@@ -258,3 +258,11 @@ def test_tables_are_dropped_once(spark):
     assert len(stage.standing() - before) == 1 and two.count() == 7
     stage.free(two)
     assert stage.standing() == before
+
+
+def test_window_without_texts(spark):
+    import math
+
+    rows = [("a", 0, 64, 2.0), ("a", 0, 100, 4.0), ("a", 600, 663, 9.0)]
+    got = {r["start"]: (r["loss"], r["texts"]) for r in metrics.window_losses(spark.createDataFrame(rows, "model string, start int, tokens long, loss double"), (0, 600), 64, "model").collect()}
+    assert got[0] == (3.0, 2) and math.isnan(got[600][0]) and got[600][1] == 0

@@ -35,7 +35,7 @@ from millrace.llm.shared import Memo, settle
 from millrace.llm.vec import slabs
 
 #: Bytes of tokenised words kept in a worker; the table is emptied when full.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 112 << 20
 PIECES_PER_SALT = 50_000
 
 

@@ -28,7 +28,7 @@ from millrace.llm.vec import slabs
 MARK = "▁"
 LATIN = "A-Za-z\u00c0-\u024f"
 #: Bytes of solved words and of solved units kept in a worker, and pairs tested; each table is emptied when full, so memory stays bounded.
-CACHE_BYTES, PAIRS = 64 << 20, 400_000
+CACHE_BYTES, PAIRS = 112 << 20, 400_000
 
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -105,9 +105,10 @@ class PieceCodec:
             known = self._pairs[left << 20 | right] = self._merged(a + b) == [a, b]
         return known
 
-    def tokens(self, unit: str) -> array:
+    def tokens(self, unit: str) -> list[int] | array:
         """Ids of one unit, by the table of last tokens; a character that no piece covers becomes its bytes."""
-        last, pairs, compatible = array("i", [-1]) * len(unit), self._pairs, self.compatible
+        short = len(unit) <= 4096  # lists are faster, arrays are smaller
+        last, pairs, compatible = ([-1] if short else array("i", [-1])) * len(unit), self._pairs, self.compatible
         sizes = self.sizes
         for at, piece in self.automaton.iter(unit):
             if last[at] < 0:
@@ -116,7 +117,7 @@ class PieceCodec:
                     last[at] = piece
                 elif (ok := pairs.get(left << 20 | piece)) or ok is None and compatible(left, piece):
                     last[at] = piece
-        out, i = array("I"), len(unit) - 1
+        out, i = [] if short else array("I"), len(unit) - 1
         while i >= 0:
             piece = last[i]
             if piece < 0:
@@ -129,7 +130,7 @@ class PieceCodec:
 
     def _solve(self, unit: str) -> tuple[bytes, bytes]:
         ids = self.tokens(unit)
-        solved = ids.tobytes(), b"".join(map(self.spelled.__getitem__, ids))
+        solved = array("I", ids).tobytes(), b"".join(map(self.spelled.__getitem__, ids))
         self._units.keep(unit, solved, len(solved[0]) + len(solved[1]))
         return solved
 

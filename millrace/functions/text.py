@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -37,8 +37,9 @@ def count_of(c: Column, char: str) -> Column:
 
 
 def _menu_line(line: Column) -> Column:
-    bare = F.length(strip(line))
-    return (bare > 120) & (count_of(line, " ") / F.greatest(bare, F.lit(1)) < 0.05)
+    """Tried from the cheapest test on: few spaces for all characters, then for those of the stripped line."""
+    bare, spaces = F.length(strip(line)), count_of(line, " ")
+    return (F.length(line) > 120) & (spaces < 0.05 * F.length(line)) & (bare > 120) & (spaces / F.greatest(bare, F.lit(1)) < 0.05)
 
 
 def clean(c: Column) -> Column:
@@ -77,8 +78,13 @@ def filled_lines(c: Column) -> Column:
     return F.filter(F.transform(split, strip), lambda x: x != "")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: a lambda's argument is never inlined into its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def distinct_share(items: Column) -> Column:
-    return F.when(F.size(items) == 0, F.lit(1.0)).otherwise(F.size(F.array_distinct(items)) / F.greatest(F.size(items), F.lit(1)))
+    return _once(items, lambda x: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.array_distinct(x)) / F.greatest(F.size(x), F.lit(1))))
 
 
 def symbol_share(c: Column, words: Column) -> Column:

@@ -53,3 +53,23 @@ def test_json_array(spark):
     assert one(spark, 'x [1, 2] y', T.json_array) == "[1, 2]"
     assert one(spark, "] [", T.json_array) is None
     assert one(spark, "none", T.json_array) is None
+
+
+def test_composition_tries_few_runs(spark):
+    """The halved class holds the same characters as the plain one, and a text is searched in the time of a few runs, not of all of them."""
+    import time
+
+    plain, halved = udfs._may_change(), udfs._halved(udfs._may_change_runs())
+    every = spark.createDataFrame([(chr(c),) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3200 or c % 16 == 0 or unicodedata.normalize("NFC", chr(c)) != chr(c))], "c string")
+    assert every.where(F.col("c").rlike(plain) != F.col("c").rlike(halved)).count() == 0
+    rows = spark.createDataFrame([("Yon ti peyi. " * 1_000_000,)], "c string").select(udfs.composed(F.col("c")).alias("c")).select(F.length("c"))
+    rows.collect()
+    began = time.time()
+    assert rows.first()[0] == 13_000_000 and time.time() - began < 8
+
+
+def test_menu_lines_at_their_bounds(spark):
+    lines = [edge + "x " * k + "x" * (n - 2 * k) + edge for n in (119, 120, 121, 140) for k in (0, 5, 6, 7, 8) for edge in ("", " ", "\u00a0\u00a0")]
+    menu = [len(x.strip()) > 120 and x.count(" ") / len(x.strip()) < 0.05 for x in lines]
+    got = spark.createDataFrame(list(enumerate(f"a\n{x}\nb" for x in lines)), "n long, c string").select("n", T.clean(F.col("c")).alias("c")).collect()
+    assert {r["n"]: r["c"] for r in got} == {n: "a\nb" if m else f"a\n{x}\nb" for n, (x, m) in enumerate(zip(lines, menu))} and any(menu) and not all(menu)

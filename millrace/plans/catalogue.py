@@ -257,8 +257,8 @@ def bpe_fertility(spark, sf_dir):
 
     from millrace.operators import tokenizer
 
-    docs = documents(spark, sf_dir)
-    counts = tokenizer.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=None).join(docs, "doc_id").select(F.size("ids").alias("tokens"), F.size(T.whitespace_words(F.col("text"))).alias("words"))
+    docs = documents(spark, sf_dir).withColumn("words", F.size(T.whitespace_words(F.col("text"))))
+    counts = tokenizer.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=None, carry=("words",)).select(F.size("ids").alias("tokens"), "words")
     return metrics.fertility(counts)
 
 

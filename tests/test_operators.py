@@ -266,3 +266,46 @@ def test_window_without_texts(spark):
     rows = [("a", 0, 64, 2.0), ("a", 0, 100, 4.0), ("a", 600, 663, 9.0)]
     got = {r["start"]: (r["loss"], r["texts"]) for r in metrics.window_losses(spark.createDataFrame(rows, "model string, start int, tokens long, loss double"), (0, 600), 64, "model").collect()}
     assert got[0] == (3.0, 2) and math.isnan(got[600][0]) and got[600][1] == 0
+
+
+def test_long_texts_are_encoded_in_pieces(spark):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.operators import tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(file)
+    odd = ["", "x" * 500, "a b", " a  b \n c\u00a0d\x1c e \x85 f's 't 12 3 <|endoftext|> !? g", "the quick fox, " * 40, "\u0939\u093f \u0928 \U0001f600 z " * 20, None]
+    assert [x for x in odd if x and "".join(tokenizer.chunks(x, 3)) != x] == []
+    for t in filter(None, odd):
+        assert [i for x in tokenizer.chunks(t, 3) for i in lib.encode(x, add_special_tokens=False).ids] == lib.encode(t, add_special_tokens=False).ids
+    solve, draw = tokenizer.ids_of(file), random.Random(3)
+    parts = ["  ", "\n", "a", "the", "ing", "'re", "1", "...", "\u00e9", "\u00a0", "\x85", "\x1c", "<|endoftext|>", "\u4e2d", "\u0301", "\U0001f600", " "]
+    made = ["".join(draw.choices(parts, k=12)) for _ in range(2000)] + ["".join(draw.choices("etaoinshrd", k=20)) for _ in range(2000)]
+    assert all(list(solve(t)) == lib.encode(t, add_special_tokens=False).ids for t in [*filter(None, odd), *made, *(f"a{u}b {u}1 {u}{u}" for u in map(chr, range(0x3000)))])
+    assert "numpy" in type(solve("a")).__module__
+    assert max(map(len, tokenizer.chunks("the quick fox, " * 100_000))) < tokenizer.CHUNK + 100
+    rows = spark.createDataFrame([(k % 3, t, k) for k, t in enumerate(odd)], "doc_id long, text string, n int")
+    got = {r["n"]: (r["doc_id"], r["ids"]) for r in tokenizer.encoded(rows, file, end_id=None, carry=("n",)).collect()}
+    assert got == {k: (k % 3, lib.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(odd)}
+
+
+def test_encoding_holds_few_texts_at_once():
+    import pyarrow as pa
+
+    from millrace.operators import tokenizer
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([None, "x" * 3_000_000, *["y" * 1_000_000] * 5, ""], pa.string())})
+    parts = list(tokenizer.slices(batch, "text"))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and [p.num_rows for p in parts] == [1, 1, 2, 2, 2]
+
+
+def test_fertility_counts_each_row_once(spark, tmp_path):
+    from millrace.plans import catalogue
+
+    rows = [(1, "yon ti peyi"), (1, "yon ti peyi"), (None, "de"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalogue.bpe_fertility(spark, str(tmp_path)).first()["documents"] == 4

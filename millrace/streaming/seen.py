@@ -18,7 +18,9 @@ def deduplicated(stream: DataFrame, text: str = "text", quality: Quality | None
     """Cleaned rows that pass the quality gate, each text once. State is one digest for each distinct text."""
     rows = stream.withColumn(text, T.clean(F.col(text)))
     if quality:
-        rows = rows.where(quality_reason(F.col(text), T.lexed(F.col(text), CORPUS_WORDS), quality).isNull())
+        # A filter on the reason must stay above it; pushed below, it would repeat the cleaning for each rule. What depends on the partition stays.
+        rows = rows.withColumn("_words", T.lexed(F.col(text), CORPUS_WORDS)).withColumns({"_reason": quality_reason(F.col(text), F.col("_words"), quality), "_part": F.spark_partition_id()})
+        rows = rows.where("_reason IS NULL AND _part >= 0").drop("_words", "_reason", "_part")
     return rows.withColumn("digest", F.md5(text)).dropDuplicates(["digest"])
 
 

@@ -18,3 +18,12 @@ def test_stream_keeps_each_text_once(spark):
     got = [r[0] for r in catalogue.streaming_dedup(spark, "/root/testdata/sf0.001").collect()]
     batch = catalogue.doc_dedup(spark, "/root/testdata/sf0.001").where("first_document").count()
     assert len(got) == len(set(got)) == batch
+
+
+def test_stream_cleans_each_text_once(spark):
+    """The cleaning stands once in the plan; a filter that were pushed below it would repeat it for each rule."""
+    from millrace.streaming import seen
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = seen.deduplicated(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 1 and plan.count("regexp_extract_all") == 1
